@@ -4,18 +4,16 @@ Base kinds (email, ip, card, phone) are found in whole texts as leftmost matches
 matches that fail their check go. Spans are in code points, the end exclusive.
 
 Information-theoretic sanitisation: a found value is a protected entity e, and a term t is a word of
-three or more letters within ``reach`` words (and
-REACH_CHARS characters) before or behind it. With df the number of distinct texts
-that hold something (copies of a text tell nothing new), t discloses the share
+three or more letters within ``reach`` words (and REACH_CHARS characters) before or behind it. With df
+the number of documents that hold something, t discloses the share
 PMI(t; e) / IC(e) = log2(N df(t, e) / (df(t) df(e))) / log2(N / df(e)) of e's information: 1 if t
-stands with e only, 0 if they are independent. Terms with support (df(t, e) >= 2) at or above the
-threshold are spans of kind ``term`` wherever they stand in reach of e, and sanitised() writes [TERM]
-for them; the base kinds become [EMAIL] and so on.
+stands with e only, 0 if they are independent. Terms that stand with e in ``support`` distinct texts
+(a copy of a text tells nothing new), at or above the threshold, are spans of kind ``term`` wherever
+they stand in reach of e, and sanitised() writes [TERM] for them; the base kinds become [EMAIL] and so on.
 
-Every count covers all documents. df(t) is counted for terms near a value only: a table of at most
-``BUCKETS`` hash buckets (so of bounded size) lets the scan skip most other words; the counts are exact.
+Every count covers all documents; words are summed in each task before they are shuffled.
 
-Edge cases: null and empty texts give no spans; repeated rows each give a row and count as one text;
+Edge cases: null and empty texts give no spans; repeated rows each give a row and count as one text for support;
 equal spans are one; an empty table gives an empty result; extra columns are not read.
 """
 
@@ -35,7 +33,6 @@ PATTERNS = {
 }
 KINDS = [*PATTERNS, "term"]
 REACH, REACH_CHARS, THRESHOLD, SUPPORT = 4, 200, 0.8, 2
-BUCKETS = 1 << 16
 TERM = r"\p{L}{3,}"
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 
@@ -126,17 +123,15 @@ def nearby(found: DataFrame, reach: int = REACH) -> DataFrame:
 
 def disclosures(texts: DataFrame, near: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
     """term and entity of every pair at or above the threshold. texts: all documents' texts; near: of nearby()."""
-    joint = near.select("entity", "term", "text_key").distinct()
-    pairs = joint.groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support)
-    pairs = written(pairs, "pairs")
-    entities = written(near.select("entity", "text_key").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")), "entities")
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
-    buckets = F.broadcast(pairs.select(bucket(F.col("term")).alias("bucket")).distinct())  # at most BUCKETS rows
-    spread = texts.select(F.xxhash64("text").alias("text_key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    wanted = spread.join(buckets, bucket(F.col("term")) == F.col("bucket"), "left_semi").join(pairs.select("term").distinct(), "term", "left_semi")
-    n_terms = wanted.distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    n = texts.select(F.xxhash64("text").alias("text_key")).distinct().agg(F.count("*").alias("n"))
-    scored = pairs.join(n_terms, "term").join(entities, "entity").crossJoin(F.broadcast(n))  # n: one row
+    joint = near.select("entity", "term", "text_key", "row").distinct()
+    pairs = joint.groupBy("entity", "term", "text_key").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("n_texts"))
+    pairs = pairs.filter(F.col("n_texts") >= support)
+    entities = near.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    # Summed in each task before the shuffle, so that it carries a task's distinct words once.
+    spread = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    n_terms = spread.groupBy("term").agg(F.count("*").alias("n_term"))
+    n = texts.agg(F.count("*").alias("n"))
+    scored = pairs.join(entities, "entity").join(n_terms, "term").crossJoin(F.broadcast(n))  # n: one row
     share = F.log2(F.col("n") * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / F.log2(F.col("n") / F.col("n_entity"))
     return scored.filter((F.col("n") > F.col("n_entity")) & (F.round(share, 9) >= threshold)).select("entity", "term")
 

@@ -42,23 +42,22 @@ def near_terms(text, start, end, reach=4):
 
 
 def plain_terms(texts):
-    """Disclosing terms by counting over distinct texts, from the formula."""
-    distinct = sorted(set(texts))
-    holds = [{m[0].lower() for m in re.finditer(r"[^\W\d_]{3,}", t)} for t in distinct]
+    """Disclosing terms by counting over documents, from the formula."""
+    holds = [{m[0].lower() for m in re.finditer(r"[^\W\d_]{3,}", t)} for t in texts]
     both, entity = {}, {}
-    spans = {t: [(t[a:b], a, b) for a, b in ((int(x.split(":")[1]), int(x.split(":")[2])) for x in base(t).split(",") if x)] for t in distinct}
-    for i, t in enumerate(distinct):
-        for value, a, b in spans[t]:
+    spans = [[(t[a:b], a, b) for a, b in ((int(x.split(":")[1]), int(x.split(":")[2])) for x in base(t).split(",") if x)] for t in texts]
+    for i, t in enumerate(texts):
+        for value, a, b in spans[i]:
             entity.setdefault(value, set()).add(i)
             for w in near_terms(t, a, b):
                 both.setdefault((value, w[2]), set()).add(i)
-    n = len(distinct)
+    n = len(texts)
     told = set()
     for (value, term), docs in both.items():
         of_term = sum(term in h for h in holds)
-        if len(docs) >= 2 and len(entity[value]) < n and round(math.log2(n * len(docs) / (of_term * len(entity[value]))) / math.log2(n / len(entity[value])), 9) >= 0.8:
+        if len({texts[i] for i in docs}) >= 2 and len(entity[value]) < n and round(math.log2(n * len(docs) / (of_term * len(entity[value]))) / math.log2(n / len(entity[value])), 9) >= 0.8:
             told.add((value, term))
-    return {t: sorted({(a, b) for value, s, e in spans[t] for a, b, w in near_terms(t, s, e) if (value, w) in told}) for t in distinct}
+    return {t: sorted({(a, b) for value, s, e in spans[i] for a, b, w in near_terms(t, s, e) if (value, w) in told}) for i, t in enumerate(texts)}
 
 
 def test_terms_equal_plain_counting(spark):
