@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm import decontam, langid, line_dedup, packing, pii, quality_rules, secret_scan, simhash, token_count
+from frameloom.llm import decontam, langid, line_dedup, packing, pii, quality_rules, secret_scan, simhash, token_count, toxicity
 from frameloom.llm.common import id_remainder, table
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -35,6 +35,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lost_words", "base_failed", "kept")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.toxicity_by_id(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(id_remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_votes")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every document: its number of lines and the numbers of those that go."""
     docs = table(spark, sf_dir, "documents")
@@ -64,17 +70,17 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pieces_of(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    pieces = packing.pieces_of(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return packing.pack(pieces.drop("ids"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = token_count.token_counts(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    counts = token_count.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_benchmark_decontamination, op3_quality_rules, op5_line_dedup, op6_secret_scan, op7_simhash_near_dedup, op8_best_fit_packing, op9_personal_data, op10_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op2_benchmark_decontamination, op3_quality_rules, op4_toxicity, op5_line_dedup, op6_secret_scan, op7_simhash_near_dedup, op8_best_fit_packing, op9_personal_data, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
