@@ -53,14 +53,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a long) of every row."""
+    """doc_id, text_hash and fp (the fingerprint's bits as a long) of every row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_groups(batches):
             own = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-            yield pa.record_batch([part.column(0), pa.array(own)], names=["doc_id", "fp"])
+            yield pa.record_batch([part.column(0), part.column(1), pa.array(own)], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(rows, "doc_id long, fp long")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return own.mapInArrow(rows, "doc_id long, text_hash long, fp long")
 
 
 def block_count(classes: int, radius: int = RADIUS) -> int:
@@ -164,15 +165,26 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable over links) of every row."""
+    """doc_id, text_hash, fp, root (the component's own mark) and component_id (the smallest doc_id
+    reachable over links) of every row."""
     own = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     classes = written(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     roots = components(links(classes.select("fp"), radius))
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    # Only classes that have links, or rows beside their first, need another look: the others are their own component.
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(ids, "root").select("fp", "root", "component_id")
+    return own.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """docs with one row of each component: that of the smallest id (null last), then of the least text hash."""
+    found = near_duplicates(docs, id_col, text_col, shingle, radius)
+    rows = found.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "n")).alias("r"))
+    first = written(first.select(F.col("r.doc_id").alias("__id"), F.col("r.text_hash").alias("__hash"), (F.col("r.n") > 1).alias("__again")), "first")
+    kept = docs.join(first, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash")))
+    again = kept.filter("__again").dropDuplicates(["__id", "__hash"])
+    return kept.filter("NOT __again").unionByName(again).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def hex_digits(fp: Column) -> Column:

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from frameloom.llm import simhash
 
@@ -56,12 +57,18 @@ def test_components_equal_all_pairs(spark, blocks, monkeypatch):
     rng.shuffle(rows)
     if blocks:
         monkeypatch.setattr(simhash, "block_count", lambda *a: blocks)
-    own = spark.createDataFrame([(d, int(np.uint64(f).view(np.int64))) for d, f in rows], "doc_id long, fp long")
+    own = spark.createDataFrame([(d, int(np.uint64(f).view(np.int64))) for d, f in rows], "doc_id long, fp long").withColumn("text_hash", F.lit(0))
     monkeypatch.setattr(simhash, "fingerprints", lambda docs, *a: docs)
     got = sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(own).collect())
     assert got == plain_components(rows)
 
 
+def test_one_of_each(spark, odd):
+    kept = sorted(((r.doc_id, r.text) for r in simhash.one_of_each(odd.withColumn("root", F.lit("x"))).collect()), key=str)
+    rows = plain_components([(r.doc_id if r.doc_id is not None else 99, plain_fingerprint(r.text)) for r in odd.collect()])
+    assert [d for d, _ in kept if d is not None] == sorted({c for _, c in rows} - {99}) and len(kept) == len({c for _, c in rows})
+
+
 def test_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(-60, 60)], "a long, b long")
     assert {r.root for r in simhash.components(edges).collect()} == {-60}
