@@ -49,21 +49,23 @@ def stretch(bucket: Column, min_chars: int) -> Column:
     return F.floor((F.floor(min_chars * F.pow(F.lit(STEP), bucket)) - 1) / PIECES).cast("int")
 
 
-def blocking_keys(line: Column, min_chars: int = MIN_CHARS) -> Column:
-    """Array of (key, start, behind): the stretch between start and the last ``behind`` characters may differ."""
-    n = F.length(line)
+def with_keys(lines: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """lines with key, start and behind: a row for each blocking key; the stretch between start and the last
+    ``behind`` characters may differ."""
     bucket = lambda m: F.floor(F.log(F.greatest(m, F.lit(min_chars)) / min_chars) / math.log(STEP) + 1e-9).cast("int")
-
-    def keys(b: Column) -> Column:
-        q = stretch(b, min_chars)
-
-        def key(p: int) -> Column:
-            front, behind = p * q, (PIECES - 1 - p) * q
-            return F.struct(F.xxhash64(b, F.lit(p), F.substr(line, F.lit(1), front), F.substr(line, n - behind + 1, behind)).alias("key"), front.alias("start"), behind.alias("behind"))
-
-        return F.array(*[key(p) for p in range(PIECES)])
-
-    return F.flatten(F.transform(F.array_distinct(F.array(bucket(n - 1), bucket(n), bucket(n + 1))), keys))
+    columns = lines.columns
+    own = lines.withColumn("__n", F.length("line"))
+    # A line within one edit has a length in the same bucket or, at its border, in the next: such lines have keys of both.
+    own = own.withColumns({"__b": bucket(F.col("__n")), "__low": bucket(F.col("__n") - 1), "__high": bucket(F.col("__n") + 1)})
+    own = own.withColumn("__b", F.explode(F.when(F.col("__low") == F.col("__high"), F.array("__b")).otherwise(F.array_distinct(F.array("__b", "__low", "__high")))))
+    own = own.withColumn("__q", stretch(F.col("__b"), min_chars))
+    # Each piece is hashed once, counted from the start and from the end; a key is the hash of its pieces' hashes.
+    q, last = F.col("__q"), PIECES - 1
+    own = own.withColumn("__back", F.substr("line", F.col("__n") - last * q + 1, last * q))
+    own = own.withColumns({f"__{side}{i}": F.xxhash64(F.substr(text, i * q + 1, q)) for side, text in (("f", F.col("line")), ("e", F.col("__back"))) for i in range(last)})
+    pieces = lambda p: [F.col(f"__f{i}") if i < p else F.col(f"__e{i}") for i in range(last)]
+    keys = F.array(*[F.struct(F.xxhash64(F.col("__b"), F.lit(p), *pieces(p)).alias("key"), (p * q).alias("start"), ((last - p) * q).alias("behind")) for p in range(PIECES)])
+    return own.select(*columns, F.explode(keys).alias("__k")).select(*columns, "__k.key", "__k.start", "__k.behind")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -144,7 +146,7 @@ def order() -> Column:
 
 def near_lines(lines: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """h1 of every line that has an earlier line within one edit."""
-    keyed = lines.select("*", F.explode(blocking_keys(F.col("line"), min_chars)).alias("k")).select("*", "k.*").drop("k")
+    keyed = with_keys(lines, min_chars)
     active = written(keyed.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo <> hi").select("key"), "keys")
     bucket = lambda: F.pmod(F.col("key"), F.lit(BUCKETS)).cast("int")
     seen = F.broadcast(active.select(bucket().alias("bucket")).distinct())
