@@ -29,8 +29,8 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 BLANK = " \t\n\x0b\x0c\r"
 SYMBOLS = "[#*$%&|<>]"
 ODD = "[^\\p{L}\\p{M}\\p{N}\\x20\\x09-\\x0D]"
-NAVIGATION = "(?:^|[\\x20\\x09-\\x0D])[|»›•·](?=[\\x20\\x09-\\x0D]|$)"
-SHOUTED = "[!?#$%&*]{2,}(?:[\\x20\\x09-\\x0D]|$)"
+BARS = ["|", "»", "›", "•", "·"]
+SHOUTED = "[!?#$%&*]{2}\\z"
 #: Phrases of page furniture, in lower case.
 BOILERPLATE = ["all rights reserved", "accept all cookies", "enable javascript", "click here to", "terms of use", "terms of service", "privacy policy", "subscribe to our newsletter", "skip to main content", "lorem ipsum"]
 
@@ -66,10 +66,10 @@ def judged(line: Column) -> Column:
     """A line with its number of words and whether it fails one of the rules."""
 
     def verdict(x: Column) -> Column:
-        # The dearer patterns run only where the count of odd characters allows a failure.
+        # Words are looked at only where the count of odd characters allows a failure.
         n, odd = F.size(x["w"]), x["odd"]
-        punctuation = (odd * 100 > F.length(F.array_join(x["w"], "")) * 30) | ((n >= 3) & (odd >= n) & (F.regexp_count(line, F.lit(SHOUTED)) * 2 > n))
-        navigation = (odd >= 2) & (4 * odd + 3 >= n) & let(F.regexp_count(line, F.lit(NAVIGATION)), lambda bars: (bars >= 2) & (n - bars <= 3 * (bars + 1)))
+        punctuation = (odd * 100 > F.length(F.array_join(x["w"], "")) * 30) | ((n >= 3) & (odd >= n) & (F.size(F.filter(x["w"], lambda w: w.rlike(SHOUTED))) * 2 > n))
+        navigation = (odd >= 2) & (4 * odd + 3 >= n) & let(F.size(F.filter(x["w"], lambda w: w.isin(*BARS))), lambda bars: (bars >= 2) & (n - bars <= 3 * (bars + 1)))
         boilerplate = let(F.lower(line), lambda low: reduce(Column.__or__, [F.contains(low, F.lit(p)) for p in BOILERPLATE]))
         return F.struct(line.alias("line"), n.alias("n"), (punctuation | navigation | boilerplate).alias("fails"))
 

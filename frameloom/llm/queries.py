@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from frameloom.llm import decontam, langid, line_dedup, packing, pii, quality_rules, secret_scan, simhash, token_count, toxicity
 from frameloom.llm.common import id_remainder, table
+from frameloom.llm.oracles import ORACLES
 
 
 def tokenizer_path(name: str) -> str:
@@ -83,4 +84,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL can't express the others' methods (models, hashes of another library, tokenizers): tests compare them with plain Python."""
+    return dict(ORACLES)
