@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from frameloom.llm import decontam, line_dedup, quality_rules
+from frameloom.llm import decontam, line_dedup, pii, quality_rules
 
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SPACED = r"[^\x20\x09-\x0D]+"
@@ -47,4 +47,36 @@ gone AS (SELECT doc_id, count(DISTINCT no) AS n, list_sort(list(DISTINCT no)) AS
 SELECT d.doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_lines, coalesce(n, 0) AS n_removed, coalesce(array_to_string(nos, ','), '') AS removed_lines FROM documents d LEFT JOIN gone USING (doc_id)
 """
 
-ORACLES = {"op2_benchmark_decontamination": DECONTAMINATION, "op3_quality_rules": QUALITY, "op5_line_dedup": LINES}
+#: The base kinds in their plain forms.
+_KINDS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+_FOUND = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, {i} AS rank, regexp_extract_all(text, '{p}') AS ms, string_split_regex(text, '{p}') AS bs FROM d" for i, (k, p) in enumerate(_KINDS.items()))
+_PLACE = "(list_sum(list_transform(bs[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0))::BIGINT"
+_LIST = "coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e), '')"
+PERSONAL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+hits AS (SELECT doc_id, kind, rank, ms[k] AS v, {_PLACE} AS s, regexp_replace(ms[k], '[^0-9]', '', 'g') AS dg FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM ({_FOUND}))),
+base AS (SELECT doc_id, kind, rank, v, s, s + length(v) AS e FROM hits WHERE CASE kind WHEN 'ip' THEN len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(x AS INT), 256) > 255)) = 0
+  WHEN 'card' THEN length(dg) BETWEEN 14 AND 19 AND list_sum(list_transform(range(0, length(dg)), lambda i: CASE WHEN i % 2 = 0 THEN substr(dg, length(dg) - i, 1)::INT WHEN substr(dg, length(dg) - i, 1)::INT > 4 THEN 2 * substr(dg, length(dg) - i, 1)::INT - 9 ELSE 2 * substr(dg, length(dg) - i, 1)::INT END)) % 10 = 0
+  WHEN 'phone' THEN length(dg) BETWEEN 10 AND 15 ELSE true END),
+sides AS (SELECT base.doc_id, v, s, e, text, true AS behind, substr(text, e + 1, {pii.REACH_CHARS}) || CASE WHEN e + {pii.REACH_CHARS} >= length(text) THEN ' ' ELSE '' END AS win FROM base JOIN d USING (doc_id)
+  UNION ALL SELECT base.doc_id, v, s, e, text, false, reverse(substr(text, greatest(s - {pii.REACH_CHARS}, 0) + 1, s - greatest(s - {pii.REACH_CHARS}, 0))) || CASE WHEN s <= {pii.REACH_CHARS} THEN ' ' ELSE '' END FROM base JOIN d USING (doc_id)),
+runs AS (SELECT *, unnest(range(1, least(len(ms), {pii.REACH}) + 1)) AS k FROM (SELECT *, regexp_extract_all(win, '\p{{L}}+') AS ms, string_split_regex(win, '\p{{L}}+') AS bs FROM sides)),
+words AS (SELECT doc_id, v, text, behind, s, e, ms[k] AS w, {_PLACE} AS off FROM runs WHERE k < len(ms) OR bs[len(ms) + 1] <> ''),
+near AS (SELECT DISTINCT doc_id, text, v AS entity, lower(CASE WHEN behind THEN w ELSE reverse(w) END) AS term, CASE WHEN behind THEN e + off ELSE s - off - length(w) END AS s, CASE WHEN behind THEN e + off + length(w) ELSE s - off END AS e FROM words WHERE length(w) >= 3),
+pairs AS (SELECT entity, term, count(DISTINCT doc_id) AS n_both FROM near GROUP BY ALL HAVING count(DISTINCT text) >= {pii.SUPPORT}),
+ents AS (SELECT entity, count(DISTINCT doc_id) AS n_entity FROM near GROUP BY 1),
+terms AS (SELECT term, count(*) AS n_term FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '\p{{L}}{{3,}}'))) AS term FROM d) GROUP BY 1),
+told AS (SELECT entity, term FROM pairs JOIN ents USING (entity) JOIN terms USING (term), (SELECT count(*) AS n FROM d) WHERE n > n_entity AND round(log2(n * n_both / (n_term * n_entity)) / log2(n / n_entity), 9) >= {pii.THRESHOLD}),
+extra AS (SELECT DISTINCT doc_id, 'term' AS kind, {len(_KINDS)} AS rank, s, e FROM near JOIN told USING (entity, term) WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = near.doc_id AND near.s < b.e AND b.s < near.e)),
+per AS (SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone, {_LIST} AS spans FROM base GROUP BY 1),
+every AS (SELECT doc_id, {_LIST} AS spans FROM (SELECT doc_id, kind, rank, s, e FROM base UNION ALL SELECT * FROM extra) GROUP BY 1)
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(per.spans, '')) AS base_sha256, coalesce(every.spans, '') AS spans
+FROM d LEFT JOIN per USING (doc_id) LEFT JOIN every USING (doc_id)
+"""
+
+ORACLES = {"op2_benchmark_decontamination": DECONTAMINATION, "op3_quality_rules": QUALITY, "op5_line_dedup": LINES, "op9_personal_data": PERSONAL}

@@ -112,7 +112,7 @@ def nearby(found: DataFrame, reach: int = REACH) -> DataFrame:
         after = F.concat(F.substr("text", b["end"] + 1, F.lit(REACH_CHARS)), F.when(b["end"] + REACH_CHARS >= F.length("text"), F.lit(" ")).otherwise(F.lit("")))
         return F.struct(b["value"].alias("entity"), b["start"].alias("from"), b["end"].alias("to"), before.alias("before"), after.alias("after"))
 
-    words = rf"^(?:[^\p{{L}}]*+\p{{L}}++(?!$)){{0,{reach}}}+"
+    words = rf"^(?:[^\p{{L}}]*+\p{{L}}++(?!\z)){{0,{reach}}}+"
     near = found.select("row", "text_key", F.explode(F.transform("base", sides)).alias("s")).select("row", "text_key", "s.*")
     near = near.withColumns({"before": F.reverse(F.regexp_extract("before", words, 0)), "after": F.regexp_extract("after", words, 0)})
     parts = F.array(F.struct((F.col("from") - F.length("before")).alias("at"), F.col("before").alias("part")), F.struct(F.col("to").alias("at"), F.col("after").alias("part")))

@@ -60,7 +60,7 @@ def plain_terms(texts):
     return {t: sorted({(a, b) for value, s, e in spans[i] for a, b, w in near_terms(t, s, e) if (value, w) in told}) for i, t in enumerate(texts)}
 
 
-def test_terms_equal_plain_counting(spark):
+def told_texts():
     rng = random.Random(2)
     texts = []
     for i in range(200):
@@ -70,7 +70,26 @@ def test_terms_equal_plain_counting(spark):
             at = rng.randrange(12)
             words[at:at] = [f"nick{'abcdefgh'[who]}", rng.choice(["writes", "from", "says"]), f"user{who}@mail.org"]
         texts.append(" ".join(words))
-    texts += texts[:20]
+    return texts + texts[:20]
+
+
+def test_sql_equals_the_query(spark, tmp_path):
+    import duckdb
+
+    from frameloom.llm.oracles import PERSONAL
+    from frameloom.llm.queries import op9_personal_data
+
+    docs = [*enumerate([*told_texts(), "ende: é@x.y", "x@y.zz", "00012.3.4.0005 +49 (30) 1234567-8", "\n+1 555 010 9999\n", "card 4111 1111-1111 1111, no 4111 1111 1111 1112", ""])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    found = op9_personal_data(spark, str(tmp_path))
+    got, want = sorted(map(tuple, found.collect())), sorted(con.execute(PERSONAL).fetchall())
+    assert found.columns == [x[0] for x in con.description] and got == want and any("term" in r[-1] for r in got)
+
+
+def test_terms_equal_plain_counting(spark):
+    texts = told_texts()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = pii.personal_data(docs)
     want = plain_terms(texts)
