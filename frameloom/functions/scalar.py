@@ -3,7 +3,7 @@ of floats is a double in Spark, so quotients are cast back)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -241,3 +241,20 @@ def detect_line(faces: Column, hits: Column, frames: Column, whip: Column, blurr
 def clip_line(frames: Column, duration_ms: Column, w: Column, h: Column) -> Column:
     size = F.when(w > 0, F.concat(F.lit(" · "), w.cast("string"), F.lit("×"), h.cast("string"))).otherwise(F.lit(""))
     return F.concat(frames.cast("string"), F.lit(" frames · "), F.format_string("%.1f", duration_ms / 1000.0), F.lit("s"), size)
+
+
+def caption(name: Column, app: str = "frameloom") -> Column:
+    """The line that goes with a shared page."""
+    return F.concat(name, F.lit(f" — made with {app}"))
+
+
+def footer(when: Column) -> Column:
+    """A page's date."""
+    return F.date_format(when, "d MMM yyyy")
+
+
+def progress_bounds(spark) -> DataFrame:
+    """stage, ordinal, weight, before, after: the stages' shares and their running sums."""
+    own = spark.createDataFrame([(n, i, w) for i, (n, w) in enumerate(STAGES)], "stage string, ordinal int, weight double")
+    total = F.sum("weight").over(Window.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0))  # six rows
+    return own.withColumn("after", F.round(total, 6)).withColumn("before", F.round(F.col("after") - F.col("weight"), 6))

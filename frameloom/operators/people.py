@@ -53,3 +53,22 @@ def trace_lines(found: DataFrame, most: int = SEGMENTS_SHOWN) -> DataFrame:
     shown = F.transform(F.slice("appearances", 1, most), lambda a: F.concat(F.lit("["), a["start_ms"].cast("string"), F.lit("-"), a["end_ms"].cast("string"), F.lit("]")))
     line = F.concat(F.lit("person "), F.col("label"), F.lit(" n="), F.col("n_samples").cast("string"), F.lit(" x"), F.size("appearances").cast("string"), F.lit(" "), F.array_join(shown, ","))
     return found.select("video_id", "person_id", line.alias("line"))
+
+
+def prune_singletons(members: DataFrame, who: str = "cluster_id", from_clusters: int = 3, least: int = 2) -> DataFrame:
+    """members without tiny clusters, in videos of from_clusters clusters or more."""
+    sizes = members.groupBy("video_id", who).agg(F.count("*").alias("__n"))
+    per = sizes.groupBy("video_id").agg(F.count("*").alias("__clusters"))
+    tiny = sizes.join(per, "video_id").filter((F.col("__clusters") >= from_clusters) & (F.col("__n") < least))
+    return members.join(tiny, ["video_id", who], "left_anti")
+
+
+def with_thumbs(found: DataFrame, thumbs: DataFrame) -> DataFrame:
+    """found with each person's thumb (video_id, person_id, thumb); null where there is none."""
+    return found.join(thumbs, ["video_id", "person_id"], "left")
+
+
+def first_seen(members: DataFrame, who: str = "cluster_id") -> DataFrame:
+    """video_id, who, first_ms, rank (from 0, by first time then who)."""
+    firsts = members.groupBy("video_id", who).agg(F.min("ts_ms").alias("first_ms"))
+    return firsts.withColumn("rank", F.row_number().over(Window.partitionBy("video_id").orderBy("first_ms", who)) - 1)

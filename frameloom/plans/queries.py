@@ -363,6 +363,41 @@ def detect_and_clip_lines(spark, sf_dir):
     return own.select("o_orderkey", S.detect_line(n(9), n(7), n(11), n(3), n(4), n(5)).alias("detect_line"), S.clip_line(n(200), n(400) * 100, n(3), n(8)).alias("clip_line"))
 
 
+@query("SELECT stage, ordinal::INT AS ordinal, weight, before, after FROM (VALUES ('EXTRACT', 0, 0.20::DOUBLE, 0.0::DOUBLE, 0.20::DOUBLE), ('DETECT', 1, 0.35, 0.20, 0.55), ('EMBED', 2, 0.15, 0.55, 0.70), ('CLUSTER', 3, 0.10, 0.70, 0.80), ('SCORE', 4, 0.10, 0.80, 0.90), ('COLLAGE', 5, 0.10, 0.90, 1.0)) t(stage, ordinal, weight, before, after)")
+def progress_weights(spark, sf_dir):
+    return S.progress_bounds(spark)
+
+
+@query(SMP + """, m AS (SELECT video_id, seq, vec_id % 97 AS cluster_id FROM smp), z AS (SELECT video_id, cluster_id, count(*) AS n FROM m GROUP BY ALL), k AS (SELECT video_id, count(*) AS c FROM z GROUP BY 1) SELECT m.* FROM m JOIN z USING (video_id, cluster_id) JOIN k USING (video_id) WHERE c < 3 OR n >= 2""")
+def prune_singletons(spark, sf_dir):
+    own = samples_of(spark, sf_dir).withColumn("cluster_id", F.col("vec_id") % 97)
+    return people.prune_singletons(own).select("video_id", "seq", "cluster_id")
+
+
+@query(SMP + "SELECT video_id, person, first_ms, (row_number() OVER (PARTITION BY video_id ORDER BY first_ms, person) - 1)::INT AS rank FROM (SELECT video_id, person, min(ts_ms) AS first_ms FROM smp GROUP BY ALL)")
+def first_seen(spark, sf_dir):
+    return people.first_seen(samples_of(spark, sf_dir), "person")
+
+
+@query(f"WITH {LAY} SELECT n::INT AS n, idx::INT AS idx, (x + 24)::INT AS \"left\", (y + h - 88)::INT AS \"top\", least(x + 24 + 100 + idx * 90, x + w - 16)::INT AS \"right\", (y + h - 24)::INT AS bottom FROM lay")
+def chip_geometry(spark, sf_dir):
+    pages = collage.layout(spark, 15)
+    return pages.select("n", "idx", collage.chip(100 + F.col("idx") * 90).alias("c")).select("n", "idx", "c.*")
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%-d %b %Y') AS footer, o_orderpriority || ' — made with frameloom' AS caption FROM orders")
+def page_footers(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", S.footer(F.col("o_orderdate")).alias("footer"), S.caption(F.col("o_orderpriority")).alias("caption"))
+
+
+@query(PPL + "SELECT p.video_id, p.person_id, m.ts_ms, m.frame_sharp FROM ppl p JOIN (SELECT video_id, person, min(ts_ms) AS ts_ms FROM smp GROUP BY ALL) f USING (video_id, person) JOIN (SELECT DISTINCT video_id, ts_ms, frame_sharp FROM det) m ON m.video_id = p.video_id AND m.ts_ms = f.ts_ms")
+def frames_of_first_shots(spark, sf_dir):
+    """A point lookup by time: the frame of each person's first face."""
+    first = numbered(spark, sf_dir).groupBy("video_id", "person_id").agg(F.min("ts_ms").alias("ts_ms"))
+    frames = fixture.detections(spark, sf_dir).select("video_id", "ts_ms", "frame_sharp").distinct()
+    return first.join(frames, ["video_id", "ts_ms"], "left")
+
+
 # -- clustering and streams ------------------------------------------------------------------------
 
 

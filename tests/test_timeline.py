@@ -1,5 +1,7 @@
 """Golden cases of segments, gates, scores, layouts, crops, progress; and what else the operators promise."""
 
+import time
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -11,7 +13,7 @@ from frameloom.functions import scalar as S
 from frameloom.functions.vectors import dot, normalized
 from frameloom.operators import collage, gates, people, regions, segments, similarity
 from frameloom.sources import media, sinks
-from frameloom.streaming import timeline
+from frameloom.streaming import progress, timeline
 
 
 def stamps(spark, *groups):
@@ -207,6 +209,24 @@ def test_sources_and_sinks(spark, tmp_path):
     assert store.get("clips_now") is None
 
 
+def test_progress_is_reported(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    listener = progress.ProgressRows()
+    spark.streams.addListener(listener)
+    try:
+        timeline.collected(timeline.read(spark, str(tmp_path / "in"), "id long"), str(tmp_path / "c"), str(tmp_path / "out"))
+        for _ in range(100):
+            if listener.ended:
+                break
+            time.sleep(0.1)
+        assert list(listener.ended.values()) == ["DONE"] and list(listener.last.values())[0]["batch"] >= 0
+    finally:
+        spark.streams.removeListener(listener)
+    query = timeline.read(spark, str(tmp_path / "in"), "id long").writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c2")).start()
+    progress.cancel(query)
+    assert not query.isActive
+
+
 def test_streamed_assignment_equals_the_fold(spark, tmp_path):
     rows = [("v", i, 200 * i, [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(8)]
     schema = "video_id string, seq int, ts_ms long, embedding array<float>"
