@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import os
 import tempfile
@@ -44,6 +45,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, to be handed to Python in Arrow batches of a few MB (unless the session sets another size): both
+    sides of the pipe hold whole batches, outside the JVM's heap."""
+    key, usual = "spark.sql.execution.arrow.maxBytesPerBatch", ("64MB", "67108864b", "67108864")
+    if df.sparkSession.conf.get(key, usual[0]) in usual:
+        df.sparkSession.conf.set(key, "8MB")
+    return df
+
+
+def give_back() -> None:
+    """Hands memory that Arrow and the C library keep for later back to the machine; Python workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not this C library
+        pass
+
+
 def text_groups(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of the batches with the texts of each as Python strings (None stays None)."""
     for batch in batches:
@@ -57,6 +76,7 @@ def text_groups(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iter
                 part = batch.slice(start, i + 1 - start)
                 yield part, part.column(index).to_pylist()
                 start, chars = i + 1, 0
+    give_back()
 
 
 def id_remainder(id_col: Column, n: int) -> Column:

@@ -26,14 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frameloom.llm.common import text_groups
+from frameloom.llm.common import small_batches, text_groups
 from frameloom.llm.fm_index import FmIndex
 
 WINDOW = 10
 #: Characters of benchmark text in one block, which bounds what is broadcast (words, ids and items: some 20 bytes a character).
 BLOCK_CHARS = 2_000_000
-#: A shard is searched when it holds so many symbols or raw characters.
-SHARD_SYMBOLS, SHARD_CHARS = 400_000, 24_000_000
+#: A shard is searched when it holds so many words or characters.
+SHARD_WORDS, SHARD_CHARS = 1_600_000, 12_000_000
 #: Occurrences located at a time.
 LOCATED_AT_ONCE = 1_000_000
 
@@ -140,22 +140,26 @@ def blocks(bench: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHAR
         yield Block([tuple(r) for r in own.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i).collect()], window)
 
 
-def _pass(block: Block, text_col: str, drop_text: bool, spark):
+def _pass(block: Block, text_col: str, text: str, spark):
+    """text: what becomes of the texts: keep, drop, or clean."""
     shared = spark.sparkContext.broadcast(block)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[pa.RecordBatch, list[list[bytes]]]] = []
+        held: list[tuple[pa.RecordBatch, list, list[list[bytes]]]] = []
         chars = 0
 
         def flush():
-            spans, items = shared.value.search([t for _, texts in held for t in texts])
+            spans, items = shared.value.search([t for *_, split in held for t in split])
             at = 0
-            for part, texts in held:
-                rows = {f: part.column(f) for f in part.schema.names if not (drop_text and f == text_col)}
+            for part, texts, split in held:
+                rows = {f: part.column(f) for f in part.schema.names if not (text == "drop" and f == text_col)}
                 own, to = range(at, at + len(texts)), [part.column("hit_words").to_pylist(), part.column("items").to_pylist()]
                 at += len(texts)
-                rows["n_words"] = pa.array([len(t) for t in texts], pa.int64())
-                rows["hit_words"] = pa.array([[{"start": a, "end": b} for a, b in merged([*((x["start"], x["end"]) for x in old), *spans[i]])] for i, old in zip(own, to[0], strict=True)], part.schema.field("hit_words").type)
+                rows["n_words"] = pa.array([len(t) for t in split], pa.int64())
+                hit = [merged([*((x["start"], x["end"]) for x in old), *spans[i]]) for i, old in zip(own, to[0], strict=True)]
+                rows["hit_words"] = pa.array([[{"start": a, "end": b} for a, b in own] for own in hit], part.schema.field("hit_words").type)
+                if text == "clean":
+                    rows[text_col] = pa.array([without(t, h) if h else t for t, h in zip(texts, hit, strict=True)], part.schema.field(text_col).type)
                 rows["items"] = pa.array([sorted({*old, *items[i]}) for i, old in zip(own, to[1], strict=True)], part.schema.field("items").type)
                 yield pa.record_batch(list(rows.values()), names=list(rows))
             held.clear()
@@ -163,10 +167,10 @@ def _pass(block: Block, text_col: str, drop_text: bool, spark):
         symbols = 0
         for part, texts in text_groups(batches, text_col):
             split = [words_of(t) for t in texts]
-            held.append((part, split))
+            held.append((part, texts, split))
             chars += sum(len(t) for t in texts if t)
             symbols += sum(map(len, split))
-            if symbols >= 4 * SHARD_SYMBOLS or chars >= SHARD_CHARS:
+            if symbols >= SHARD_WORDS or chars >= SHARD_CHARS:
                 yield from flush()
                 chars = symbols = 0
         if held:
@@ -175,8 +179,8 @@ def _pass(block: Block, text_col: str, drop_text: bool, spark):
     return search
 
 
-def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """docs (without their texts unless keep_text) with n_words, hit_words (spans start <= word < end) and
+def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS, text_col: str = "text", text: str = "keep") -> DataFrame:
+    """docs (with their texts, without if text is "drop", with the texts' spans taken out if it is "clean") with n_words, hit_words (spans start <= word < end) and
     items (ids of items with windows in the text)."""
     names = {f.name.lower() for f in RESULTS}
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names])
@@ -184,14 +188,14 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block
     found = list(blocks(bench, window, block_chars))
     if not found:
         docs = docs.withColumn("__n", n_words)
-        docs = docs if keep_text else docs.drop(text_col)
+        docs = docs.drop(text_col) if text == "drop" else docs
         return docs.withColumnRenamed("__n", "n_words").select("*", F.array().cast(SPANS).alias("hit_words"), F.array().cast("array<string>").alias("items"))
     out = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("hit_words"), F.array().cast("array<string>").alias("items"))
     schema = T.StructType([*docs.schema.fields, *RESULTS])
     for i, block in enumerate(found):
-        drop = not keep_text and i + 1 == len(found)
-        own = T.StructType([f for f in schema.fields if not (drop and f.name == text_col)])
-        out = out.mapInArrow(_pass(block, text_col, drop, docs.sparkSession), own)
+        now = text if i + 1 == len(found) else "keep"
+        own = T.StructType([f for f in schema.fields if not (now == "drop" and f.name == text_col)])
+        out = small_batches(out).mapInArrow(_pass(block, text_col, now, docs.sparkSession), own)
     return out
 
 
@@ -202,14 +206,5 @@ def n_hit() -> Column:
 def cleaned(docs: DataFrame, bench: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
     """docs without the benchmark's passages: the removal spans leave the texts; a document of which no
     word is left goes."""
-
-    @F.udf("string", useArrow=True)
-    def cut(text, spans):
-        return None if text is None else without(text, [(s["start"], s["end"]) for s in spans])
-
-    columns = docs.columns
-    found = contamination(docs, bench, window, text_col=text_col)
-    kept = found.filter((F.size("hit_words") == 0) | (n_hit() < F.col("n_words")))
-    # Only texts with spans are handed to Python.
-    text = F.coalesce(cut(F.when(F.size("hit_words") > 0, F.col(text_col)), F.col("hit_words")), F.col(text_col))
-    return kept.withColumn(text_col, text).select(*columns)
+    found = contamination(docs, bench, window, text_col=text_col, text="clean")
+    return found.filter((F.size("hit_words") == 0) | (n_hit() < F.col("n_words"))).select(*[F.col(f"`{c}`") for c in docs.columns])

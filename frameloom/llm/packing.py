@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import parts_for, text_groups, written
+from frameloom.llm.common import parts_for, small_batches, text_groups, written
 from frameloom.llm.subwords import word_bpe
 
 CAPACITY, END_ID = 2048, 0
@@ -52,7 +52,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_id
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(rows, PIECES)
+    return small_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(rows, PIECES)
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:

@@ -26,7 +26,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
+    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), text="drop")
     found = found.select("doc_id", "n_words", decontam.n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
     return found.withColumn("contaminated", F.col("n_hit") > 0)
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import text_groups
+from frameloom.llm.common import small_batches, text_groups
 
 KINDS = ["assign", "access", "hex", "jwt", "pem", "der", "hexder", "ssh"]
 BASE = {
@@ -179,4 +179,4 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.record_batch([part.column(0), pa.array(found, kind)], names=["doc_id", "spans"])
 
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(rows, f"doc_id {own.schema[0].dataType.simpleString()}, spans array<struct<start:long,end:long,kind:string>>")
+    return small_batches(own).mapInArrow(rows, f"doc_id {own.schema[0].dataType.simpleString()}, spans array<struct<start:long,end:long,kind:string>>")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import text_groups, written
+from frameloom.llm.common import small_batches, text_groups, written
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 WORDS = re.compile("[^\x20\x09-\x0d]+")
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.record_batch([part.column(0), part.column(1), pa.array(own)], names=["doc_id", "text_hash", "fp"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return own.mapInArrow(rows, "doc_id long, text_hash long, fp long")
+    return small_batches(own).mapInArrow(rows, "doc_id long, text_hash long, fp long")
 
 
 def block_count(classes: int, radius: int = RADIUS) -> int:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import Remembered, quiet_tokenizers, text_groups
+from frameloom.llm.common import quiet_tokenizers, Remembered, small_batches, text_groups
 
 SPACE = "▁"
 #: Distinct pre-tokens that a Python worker remembers ; memory, not results, depends on it.
@@ -134,4 +134,4 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             n = [of.count(t) if t else 0 for t in texts]
             yield pa.record_batch([part.column(0), pa.compute.binary_length(part.column(1)).fill_null(0).cast(pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(rows, SCHEMA)
+    return small_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(rows, SCHEMA)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import id_remainder, text_groups, written
+from frameloom.llm.common import id_remainder, small_batches, text_groups, written
 
 SAMPLE, ENTRIES = 12_000, 4096
 WORD_VOTERS, STEM_VOTERS = 8, 6
@@ -151,7 +151,7 @@ def marked(docs: DataFrame, lexicon: Lexicon, keep: list[str], text_col: str) ->
 
     own = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
-    return own.mapInArrow(rows, f"{schema}, held array<int>, votes int")
+    return small_batches(own).mapInArrow(rows, f"{schema}, held array<int>, votes int")
 
 
 class LabelModel:
