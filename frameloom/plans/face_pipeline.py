@@ -10,8 +10,8 @@ from frameloom.operators.identity import Rules
 
 
 def clustered(samples: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """samples with cluster_id and member_pos; samples of nobody go."""
-    return samples.join(identity.cluster_faces(samples, rules), ["video_id", "seq"])
+    """samples with cluster_id and member_pos; samples of nobody go. The fold's result (ids only) is kept for its many readers."""
+    return samples.join(identity.cluster_faces(samples, rules).persist(), ["video_id", "seq"])
 
 
 def run(detections: DataFrame, rules: Rules = Rules()) -> dict[str, DataFrame]:
