@@ -148,11 +148,15 @@ def near_lines(lines: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """h1 of every line that has an earlier line within one edit."""
     keyed = with_keys(lines, min_chars)
     active = written(keyed.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo <> hi").select("key"), "keys")
-    bucket = lambda: F.pmod(F.col("key"), F.lit(BUCKETS)).cast("int")
-    seen = F.broadcast(active.select(bucket().alias("bucket")).distinct())
-    passed = keyed.join(seen, bucket() == F.col("bucket"), "left_semi").join(active, "key", "left_semi")
-    shared = written(passed.groupBy("h1", "key", "start", "behind").agg(F.min(order()).alias("at"), F.first("line").alias("line")), "shared")
-    texts = shared.groupBy("h1").agg(F.min("at").alias("o"), F.first("line").alias("line"))
+    # Keys are matched without their texts; then the lines that are left give each text once.
+    bucket = lambda c: F.pmod(F.col(c), F.lit(BUCKETS)).cast("int")
+    some = lambda df, c: F.broadcast(df.select(bucket(c).alias("bucket")).distinct())  # noqa: E731  at most BUCKETS rows
+    passed = keyed.select("key", "start", "behind", "h1").join(some(active, "key"), bucket("key") == F.col("bucket"), "left_semi").join(active, "key", "left_semi")
+    hits = written(passed.distinct(), "hits")
+    wanted = hits.select("h1").distinct()
+    near = lines.select("h1", "line", order().alias("at")).join(some(wanted, "h1"), bucket("h1") == F.col("bucket"), "left_semi").join(wanted, "h1", "left_semi")
+    texts = written(near.groupBy("h1").agg(F.min("at").alias("o"), F.first("line").alias("line")), "texts")
+    shared = hits.join(texts, "h1")
     found = written(groups(variants(shared).repartition("v").sortWithinPartitions("v", "at")), "groups").withColumnRenamed("at", "place")
     placed = found.join(texts.select("h1", "o"), "h1")
     replaced = placed.filter("self IS NULL")
@@ -180,7 +184,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
 def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """docs, the lines that go taken out of their texts; a document of which no word is left goes, unless it had none."""
     gone = written(removals(docs, id_col, text_col, min_chars), "gone").select(F.col("doc_id").alias("__id"), "gone").withColumnRenamed("gone", "__gone")
-    joined = docs.join(gone, docs[id_col].eqNullSafe(F.col("__id")), "left")
+    # A sorted merge at any size: both sides grow with the documents.
+    joined = docs.join(gone.hint("merge"), docs[id_col].eqNullSafe(F.col("__id")), "left")
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
     out = joined.withColumn("__text", F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept))
     out = out.filter(F.col("__gone").isNull() | (F.length(F.btrim("__text", F.lit(BLANK + "\n"))) > 0))
