@@ -48,10 +48,13 @@ class WordBpe:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _pretokens(self, word: str) -> list[str]:
-        low = word.lower()
-        if low.isascii():
-            return [low] if low.isalpha() else self.findall(low)
-        return self.findall(unicodedata.normalize("NFC", word).lower())
+        """Of a simple word; plain ones, and those with one mark behind, need no pattern."""
+        low = (word if word.isascii() else unicodedata.normalize("NFC", word)).lower()
+        if low.isalpha():
+            return [low]
+        if low[-1:] in (".", ",") and low[:-1].isalpha():
+            return [low[:-1], low[-1]]
+        return self.findall(low)
 
     def _merge(self, new: list[str]) -> dict[str, bytes]:
         """Ids of pre-tokens: runs of letters many at a time (a merge's last token tells where one ends), others alone."""
