@@ -12,6 +12,13 @@ an equal variant and place of deletion differ by a replaced character there; a l
 variant differs by a deletion. Each such group hands on its earliest member only, never its pairs, and
 the edit distance of every pair that is left is verified on the texts.
 
+With ``edits`` of 2 or more the bound grows with the shorter line: one edit for each EDIT_CHARS characters,
+1 at least and ``edits`` at most. Lines of k edits and k + 1 disjoint pieces have an untouched piece i with i
+edits in front of it and k - i or fewer behind it. So the pieces of the first half are counted from the start
+and the others from the end, and of each piece some shifted substrings are keys, of which any two lines shifted
+by so many edits share one. The lines of a key are compared with the earlier ones until one is near: no pair
+leaves its task, but the time of a key grows with the square of its lines if none of them are near.
+
 Edge cases: null and empty texts have no lines; rows of equal doc_id are versions of one document: an
 equal line at an equal place in both is one line; ties are settled by line number; an empty table gives
 an empty result; extra columns stay as they are; lines are compared whole, at any length.
@@ -27,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import written
+from frameloom.llm.common import small_batches, written
 
 MIN_CHARS, PIECES, STEP = 20, 4, 1.1
 BLANK = " \t\x0b\x0c\r"
@@ -35,6 +42,8 @@ BLANK = " \t\x0b\x0c\r"
 BUCKETS = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
+#: Characters of a line for each edit, where more than one is allowed.
+EDIT_CHARS = 40
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -170,10 +179,117 @@ def near_lines(lines: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return pairs.join(a, "h1").join(b, "earlier").filter(F.levenshtein("own", "other", 1) >= 0).select("h1").distinct()
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def bound(n: int, edits: int) -> int:
+    """Edits allowed for a pair of which the shorter line has n characters."""
+    return max(1, min(n // EDIT_CHARS, edits))
+
+
+def within(a: str, b: str, k: int) -> bool:
+    """Whether the edit distance of the strings is k or less: furthest places reached on each diagonal."""
+    if abs(len(a) - len(b)) > k:
+        return False
+
+    def run(i: int, j: int) -> int:
+        """i behind the characters that agree from a[i] and b[j] on."""
+        step, most = 8, min(len(a) - i, len(b) - j)
+        end = i + most
+        shift = j - i
+        while i < end and a[i : min(i + step, end)] == b[i + shift : min(i + step, end) + shift]:
+            i, step = min(i + step, end), 2 * step
+        while step:
+            if i + step <= end and a[i : i + step] == b[i + shift : i + step + shift]:
+                i += step
+            else:
+                step //= 2
+        return i
+
+    goal = len(b) - len(a)
+    reached = {0: run(0, 0)}
+    for _ in range(k):
+        if reached.get(goal) == len(a):
+            return True
+        further: dict[int, int] = {}
+        for d, i in reached.items():
+            for e, x in ((d, i + 1), (d - 1, i + 1), (d + 1, i)):
+                if x <= len(a) and x + e <= len(b):
+                    further[e] = max(further.get(e, 0), x)
+        reached = {d: run(i, i + d) for d, i in further.items()}
+    return reached.get(goal) == len(a)
+
+
+def shifts(t: int) -> list[int]:
+    """Numbers from 0 of which some two differ by d, for every d up to t."""
+    s = max(1, math.isqrt(t))
+    return [*range(s), *range(s, s * math.ceil(t / s) + 1, s)]
+
+
+def piece_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """key and h1: the blocking keys of lines for which more than one edit is allowed."""
+    least = 2 * EDIT_CHARS
+    bucket = lambda n: F.floor(F.log(n / least) / math.log(STEP) + 1e-9).cast("int")
+    first = lambda b: F.ceil(least * F.pow(F.lit(STEP), b) - 1e-6).cast("int")  # noqa: E731  least length of a bucket
+    own = lines.select("h1", "line", F.length("line").alias("n")).filter(F.col("n") >= least)
+    # A line that is shorter by the edits allowed may be in the bucket before.
+    low = F.greatest(F.col("n") - edits, F.lit(least))
+    own = own.withColumn("b", F.explode(F.array_distinct(F.array(bucket(F.col("n")), bucket(low)))))
+    own = own.withColumn("k", F.least(F.floor(first(F.col("b") + 1) / EDIT_CHARS), F.lit(edits)).cast("int"))
+    own = own.withColumn("q", F.floor(first(F.col("b")) / (F.col("k") + 1)).cast("int"))
+
+    def keys(k: int) -> Column:
+        out = []
+        for i in range(k + 1):
+            front = 2 * i <= k
+            own_shifts = shifts(i if front else k - i)
+            for a in own_shifts:
+                start = i * F.col("q") + a if front else F.col("n") - (k + 1 - i) * F.col("q") + a
+                out.append(F.xxhash64("b", F.lit(i), F.substr("line", start + 1, F.col("q") - own_shifts[-1])))
+        return F.array(*out)
+
+    chosen = F.when(F.col("k") == 2, keys(2))
+    for k in range(3, edits + 1):
+        chosen = chosen.when(F.col("k") == k, keys(k))
+    return own.select("h1", F.explode(F.array_distinct(chosen)).alias("key"))
+
+
+def near_in_keys(found: DataFrame, edits: int) -> DataFrame:
+    """h1 of the lines near an earlier line of their key. found: key, h1, line dealt by key, sorted by key and place."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, earlier, gone = None, [], set()
+        for batch in batches:
+            for k, h1, line in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if k != key:
+                    key, earlier = k, []
+                if h1 not in gone and any(within(x, line, bound(min(len(x), len(line)), edits)) for x in earlier):
+                    gone.add(h1)
+                earlier.append(line)
+            yield pa.record_batch([pa.array(gone, pa.int64())], names=["h1"])
+            gone = set()
+
+    return small_batches(found).mapInArrow(rows, "h1 long")
+
+
+def further_lines(lines: DataFrame, edits: int) -> DataFrame:
+    """h1 of every line for which more than one edit is allowed and that has an earlier one within the bound."""
+    keyed = piece_keys(lines, edits)
+    active = written(keyed.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo <> hi").select("key"), "keys")
+    bucket = lambda c: F.pmod(F.col(c), F.lit(BUCKETS)).cast("int")
+    some = lambda df, c: F.broadcast(df.select(bucket(c).alias("bucket")).distinct())  # noqa: E731  at most BUCKETS rows
+    hits = written(keyed.join(some(active, "key"), bucket("key") == F.col("bucket"), "left_semi").join(active, "key", "left_semi").distinct(), "hits")
+    wanted = hits.select("h1").distinct()
+    near = lines.select("h1", "line", order().alias("at")).join(some(wanted, "h1"), bucket("h1") == F.col("bucket"), "left_semi").join(wanted, "h1", "left_semi")
+    texts = written(near.groupBy("h1").agg(F.min("at").alias("o"), F.first("line").alias("line")), "texts")
+    dealt = hits.join(texts, "h1").repartition("key").sortWithinPartitions("key", "o")
+    return near_in_keys(dealt.select("key", "h1", "line"), edits).distinct()
+
+
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, edits: int = 1) -> DataFrame:
     """doc_id and gone (numbers of the lines that go, rising) of every document that loses a line."""
     lines = lines_of(docs, id_col, text_col, min_chars)
-    near = near_lines(lines, min_chars).withColumn("near", F.lit(True))
+    near = near_lines(lines, min_chars)
+    if edits > 1:
+        near = written(near.union(further_lines(lines, edits)).distinct(), "near")
+    near = near.withColumn("near", F.lit(True))
     short = lines.select("h1", "h2", "doc_id", "line_no")
     firsts = short.groupBy("h1", "h2").agg(F.min(order()).alias("first"), F.count("*").alias("n"))
     wanted = firsts.join(near, "h1", "left").filter("n > 1 OR near")
@@ -181,9 +297,9 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
 
 
-def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, edits: int = 1) -> DataFrame:
     """docs, the lines that go taken out of their texts; a document of which no word is left goes, unless it had none."""
-    gone = written(removals(docs, id_col, text_col, min_chars), "gone").select(F.col("doc_id").alias("__id"), "gone").withColumnRenamed("gone", "__gone")
+    gone = written(removals(docs, id_col, text_col, min_chars, edits), "gone").select(F.col("doc_id").alias("__id"), "gone").withColumnRenamed("gone", "__gone")
     # A sorted merge at any size: both sides grow with the documents.
     joined = docs.join(gone.hint("merge"), docs[id_col].eqNullSafe(F.col("__id")), "left")
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")

@@ -76,3 +76,45 @@ def test_one_very_common_line(spark):
     same = "this very common line stands in every single document"
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit(same + "\n"), F.sha2(F.col("id").cast("string"), 256)).alias("text"))
     assert line_dedup.removals(docs).count() == 2999
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_more_edits_equal_all_pairs(spark):
+    rng = random.Random(8)
+    lines = []
+    for alphabet in ("ab", "abcdefgh \u00e9\u65e5\U0001f642"):
+        for n in (70, 79, 86, 120, 160, 199, 230):
+            line = "x" + "".join(rng.choice(alphabet) for _ in range(n - 2)) + "y"
+            for _ in range(8):
+                own = line
+                for _ in range(rng.randint(0, 7)):
+                    i, kind = rng.randrange(1, len(own) - 1), rng.randrange(3)
+                    own = own[:i] + (rng.choice("ab") if kind < 2 else "") + own[i + (kind != 0) :]
+                lines.append(own)
+    rng.shuffle(lines)
+    lines = list(dict.fromkeys(lines))
+    want = set()
+    for i, b in enumerate(lines):
+        if any(abs(len(a) - len(b)) <= 5 and distance(a, b) <= line_dedup.bound(min(len(a), len(b)), 5) for a in lines[:i]):
+            want.add(i)
+    got = {r.doc_id for r in line_dedup.removals(spark.createDataFrame(list(enumerate(lines)), DOCS), edits=5).collect()}
+    one = {r.doc_id for r in line_dedup.removals(spark.createDataFrame(list(enumerate(lines)), DOCS)).collect()}
+    assert got == want and want > one
+
+
+def test_within_and_shifts():
+    rng = random.Random(9)
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randint(0, 14))) for _ in range(2))
+        k = rng.randint(1, 5)
+        assert line_dedup.within(a, b, k) == (distance(a, b) <= k)
+    for t in range(20):
+        assert {abs(a - b) for a in line_dedup.shifts(t) for b in line_dedup.shifts(t)} >= set(range(t + 1))
