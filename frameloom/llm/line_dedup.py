@@ -20,7 +20,7 @@ by so many edits share one. The lines of a key are compared with the earlier one
 leaves its task, but the time of a key grows with the square of its lines if none of them are near.
 
 Edge cases: null and empty texts have no lines; rows of equal doc_id are versions of one document: an
-equal line at an equal place in both is one line; ties are settled by line number; an empty table gives
+equal line at an equal place in both is one line, and deduped() takes from each row its own lines only; ties are settled by line number; an empty table gives
 an empty result; extra columns stay as they are; lines are compared whole, at any length.
 """
 
@@ -47,9 +47,9 @@ EDIT_CHARS = 40
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, line_no, line, and h1 and h2 that tell lines apart."""
-    own = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "raw"))
-    own = own.select("doc_id", "line_no", F.btrim("raw", F.lit(BLANK)).alias("line")).filter(F.length("line") >= min_chars)
+    """doc_id, text_key (a hash of the row's text), line_no, line, and h1 and h2 that tell lines apart."""
+    own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "raw"))
+    own = own.select("doc_id", "text_key", "line_no", F.btrim("raw", F.lit(BLANK)).alias("line")).filter(F.length("line") >= min_chars)
     return own.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
 
 
@@ -283,25 +283,26 @@ def further_lines(lines: DataFrame, edits: int) -> DataFrame:
     return near_in_keys(dealt.select("key", "h1", "line"), edits).distinct()
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, edits: int = 1) -> DataFrame:
-    """doc_id and gone (numbers of the lines that go, rising) of every document that loses a line."""
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, edits: int = 1, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """doc_id and gone (numbers of the lines that go, rising) of every document that loses a line; with text_key
+    in ``by``, of every row of its own (rows of one id and text are alike)."""
     lines = lines_of(docs, id_col, text_col, min_chars)
     near = near_lines(lines, min_chars)
     if edits > 1:
         near = written(near.union(further_lines(lines, edits)).distinct(), "near")
     near = near.withColumn("near", F.lit(True))
-    short = lines.select("h1", "h2", "doc_id", "line_no")
+    short = lines.select("h1", "h2", "doc_id", "text_key", "line_no")
     firsts = short.groupBy("h1", "h2").agg(F.min(order()).alias("first"), F.count("*").alias("n"))
     wanted = firsts.join(near, "h1", "left").filter("n > 1 OR near")
     gone = short.join(wanted.select("h1", "h2", "first", "near"), ["h1", "h2"]).filter(F.coalesce("near", F.lit(False)) | (order() > F.col("first")))
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
+    return gone.groupBy(*by).agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
 
 
 def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, edits: int = 1) -> DataFrame:
     """docs, the lines that go taken out of their texts; a document of which no word is left goes, unless it had none."""
-    gone = written(removals(docs, id_col, text_col, min_chars, edits), "gone").select(F.col("doc_id").alias("__id"), "gone").withColumnRenamed("gone", "__gone")
+    gone = written(removals(docs, id_col, text_col, min_chars, edits, ("doc_id", "text_key")), "gone").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("gone").alias("__gone"))
     # A sorted merge at any size: both sides grow with the documents.
-    joined = docs.join(gone.hint("merge"), docs[id_col].eqNullSafe(F.col("__id")), "left")
+    joined = docs.join(gone.hint("merge"), docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__key")), "left")
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
     out = joined.withColumn("__text", F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept))
     out = out.filter(F.col("__gone").isNull() | (F.length(F.btrim("__text", F.lit(BLANK + "\n"))) > 0))

@@ -118,3 +118,10 @@ def test_within_and_shifts():
         assert line_dedup.within(a, b, k) == (distance(a, b) <= k)
     for t in range(20):
         assert {abs(a - b) for a in line_dedup.shifts(t) for b in line_dedup.shifts(t)} >= set(range(t + 1))
+
+
+def test_rows_of_one_id_lose_their_own_lines_only(spark):
+    same = "this line stands in two of the documents"
+    docs = [(1, same), (None, f"a first line of some length, once\n{same}"), (None, "another first line, not seen elsewhere\nand its second line is unique as well"), (5, f"{same}\nthe rest of five"), (5, "the start of a longer version\nthe rest of five")]
+    out = [(r.doc_id, r.text) for r in line_dedup.deduped(spark.createDataFrame(docs, DOCS)).collect()]
+    assert sorted(out, key=str) == sorted([docs[0], (None, "a first line of some length, once"), docs[2], (5, "the rest of five"), docs[4]], key=str)
