@@ -1,6 +1,7 @@
 r"""Near-duplicate lines by a deletion-neighbourhood join.
 
-A line (trimmed of ASCII white space, of ``min_chars`` or more characters; others always stay) goes if an equal line
+A line (trimmed of ASCII white space, of ``min_chars`` or more characters; of others, those of ``repeat_chars`` or
+more with a letter or digit go as equal lines only if that is given, else they stay) goes if an equal line
 stands earlier, or if a line within one edit (a character put in, taken out or replaced) first stands
 before its own first place. Order is by doc_id (null last) and line number.
 
@@ -46,10 +47,12 @@ INVERSE = pow(BASE, -1, 1 << 64)
 EDIT_CHARS = 40
 
 
-def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, repeat_chars: int | None = None) -> DataFrame:
     """doc_id, text_key (a hash of the row's text), line_no, line, and h1 and h2 that tell lines apart."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "raw"))
-    own = own.select("doc_id", "text_key", "line_no", F.btrim("raw", F.lit(BLANK)).alias("line")).filter(F.length("line") >= min_chars)
+    own = own.select("doc_id", "text_key", "line_no", F.btrim("raw", F.lit(BLANK)).alias("line"))
+    long = F.length("line") >= min_chars
+    own = own.filter(long if repeat_chars is None else long | ((F.length("line") >= repeat_chars) & F.col("line").rlike(r"[\p{L}\p{N}]")))
     return own.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
 
 
@@ -283,13 +286,14 @@ def further_lines(lines: DataFrame, edits: int) -> DataFrame:
     return near_in_keys(dealt.select("key", "h1", "line"), edits).distinct()
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, edits: int = 1, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, edits: int = 1, repeat_chars: int | None = None, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """doc_id and gone (numbers of the lines that go, rising) of every document that loses a line; with text_key
     in ``by``, of every row of its own (rows of one id and text are alike)."""
-    lines = lines_of(docs, id_col, text_col, min_chars)
-    near = near_lines(lines, min_chars)
+    lines = lines_of(docs, id_col, text_col, min_chars, repeat_chars)
+    long = lines if repeat_chars is None else lines.filter(F.length("line") >= min_chars)
+    near = near_lines(long, min_chars)
     if edits > 1:
-        near = written(near.union(further_lines(lines, edits)).distinct(), "near")
+        near = written(near.union(further_lines(long, edits)).distinct(), "near")
     near = near.withColumn("near", F.lit(True))
     short = lines.select("h1", "h2", "doc_id", "text_key", "line_no")
     firsts = short.groupBy("h1", "h2").agg(F.min(order()).alias("first"), F.count("*").alias("n"))
@@ -298,9 +302,9 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     return gone.groupBy(*by).agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
 
 
-def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, edits: int = 1) -> DataFrame:
+def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, edits: int = 1, repeat_chars: int | None = None) -> DataFrame:
     """docs, the lines that go taken out of their texts; a document of which no word is left goes, unless it had none."""
-    gone = written(removals(docs, id_col, text_col, min_chars, edits, ("doc_id", "text_key")), "gone").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("gone").alias("__gone"))
+    gone = written(removals(docs, id_col, text_col, min_chars, edits, repeat_chars, ("doc_id", "text_key")), "gone").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("gone").alias("__gone"))
     # A sorted merge at any size: both sides grow with the documents.
     joined = docs.join(gone.hint("merge"), docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__key")), "left")
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")

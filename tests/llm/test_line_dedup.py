@@ -3,6 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from frameloom.llm import line_dedup
 
 DOCS = "doc_id long, text string"
@@ -125,3 +126,13 @@ def test_rows_of_one_id_lose_their_own_lines_only(spark):
     docs = [(1, same), (None, f"a first line of some length, once\n{same}"), (None, "another first line, not seen elsewhere\nand its second line is unique as well"), (5, f"{same}\nthe rest of five"), (5, "the start of a longer version\nthe rest of five")]
     out = [(r.doc_id, r.text) for r in line_dedup.deduped(spark.createDataFrame(docs, DOCS)).collect()]
     assert sorted(out, key=str) == sorted([docs[0], (None, "a first line of some length, once"), docs[2], (5, "the rest of five"), docs[4]], key=str)
+
+
+def test_exact_repeats_of_short_lines(spark):
+    docs = [(1, "Contents\n--\nshort line A"), (2, " Contents\n--\nshort line B"), (3, "7\n7\n\n\n\u65e5")]
+    docs = spark.createDataFrame(docs, DOCS)
+    assert {r.doc_id: r.gone for r in line_dedup.removals(docs, repeat_chars=1).collect()} == {2: [0], 3: [1]}
+    assert {r.doc_id: r.gone for r in line_dedup.removals(docs, repeat_chars=8).collect()} == {2: [0]}
+    assert line_dedup.removals(docs).count() == 0
+    stage = corpus_pipeline.lines(spark, docs, "")
+    assert {r.doc_id: r.text for r in stage.collect()} == {1: "Contents\n--\nshort line A", 2: "--\nshort line B", 3: "7\n\n\n\u65e5"}
