@@ -21,9 +21,13 @@ CHARS_AT_ONCE = 4_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: spark.checkpoint.dir, or (where it is unset, as in tests) one made here."""
+    """Folder that all executors share: spark.checkpoint.dir. Where it is unset, a session in one process (master
+    local) gets a folder of its own; on a cluster that is an error, as no other machine could read it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="frameloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -94,6 +98,15 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that df does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def parts_for(rows: int, rows_each: int) -> int:
     return max(1, math.ceil(rows / rows_each))
 

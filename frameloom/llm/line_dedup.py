@@ -1,209 +1,126 @@
-r"""Near-duplicate lines by a deletion-neighbourhood join.
-
-A line (trimmed of ASCII white space, of ``min_chars`` or more characters; of others, those of ``repeat_chars`` or
-more with a letter or digit go as equal lines only if that is given, else they stay) goes if an equal line
-stands earlier, or if a line within one edit (a character put in, taken out or replaced) first stands
-before its own first place. Order is by doc_id (null last) and line number.
-
-Two lines within one edit agree outside one of ``PIECES`` stretches, in front of it counted from the
-start and behind it from the end. So each line has one blocking key for each stretch; lines of which
-no key is shared with a different line are set aside. For the others, and each shared key, all strings
-one deletion away from the stretch are emitted as hashed keys (and the stretch itself). Two lines with
-an equal variant and place of deletion differ by a replaced character there; a line that is another's
-variant differs by a deletion. Each such group hands on its earliest member only, never its pairs, and
-the edit distance of every pair that is left is verified on the texts.
-
-With ``edits`` of 2 or more the bound grows with the shorter line: one edit for each EDIT_CHARS characters,
-1 at least and ``edits`` at most. Lines of k edits and k + 1 disjoint pieces have an untouched piece i with i
-edits in front of it and k - i or fewer behind it. So the pieces of the first half are counted from the start
-and the others from the end, and of each piece some shifted substrings are keys, of which any two lines shifted
-by so many edits share one. The lines of a key are compared with the earlier ones until one is near: no pair
-leaves its task, but the time of a key grows with the square of its lines if none of them are near.
-
-Edge cases: null and empty texts have no lines; rows of equal doc_id are versions of one document: an
-equal line at an equal place in both is one line, and deduped() takes from each row its own lines only; ties are settled by line number; an empty table gives
-an empty result; extra columns stay as they are; lines are compared whole, at any length.
+r"""Near-duplicate lines by a deletion-neighbourhood join, coarse to fine.
+
+A line (trimmed of ASCII white space; one without a letter or digit always stays) goes if an equal line stands
+earlier, or if it is within the edit bound of a different line that first stands before its own first place.
+Edits are counted in words: one put in, taken out or replaced. The bound grows with the shorter line, one edit
+for each ``EDIT_WORDS`` words and ``edits`` at most, so that lines of fewer words go as equal lines only. Order is
+by doc_id (null last), text hash and line number. The rule asks for an earlier line, not for one that stays: of
+A, B and C, each near the next, B and C go.
+
+With k edits allowed, a line is cut into k + 1 pieces, and its variants are what is left when k of them are
+deleted: edits touch k pieces at most, so two near lines have an equal variant. Piece i, with i edits in front
+of it and k - i or fewer behind it, is counted from the nearer end and shifted by the edits there. Variants are
+hashed with their bucket of lengths, equal ones joined, and the distance of a line to the earlier ones of its
+variant is verified on the words. A variant with over ``HOT`` different lines is dealt anew by its lines' rare
+words: near lines share one of the k + 1 words that are rarest in the variant, so each line goes to those of its
+own; up to ``LEVELS`` times. No pair leaves its task. What is left then (lines that share a stretch and as many
+rare words) is nearly always near its earliest line, where the search of a line ends.
+
+Edge cases: null and empty texts have no lines; rows of equal id and text are one document that is there more
+than once, and keep the same lines; rows of equal (or null) id and different text are documents of their own;
+an empty table gives an empty result; extra columns stay as they are, whatever their names; lines are compared
+whole, at any length.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import small_batches, written
+from frameloom.llm.common import let, small_batches, unused, written
 
-MIN_CHARS, PIECES, STEP = 20, 4, 1.1
+#: Words of a line for each edit allowed, and the most edits.
+EDIT_WORDS, MOST_EDITS = 8, 3
+#: Ratio of the buckets of line lengths; each is as wide as the edits allowed there.
+STEP = 1.25
 BLANK = " \t\x0b\x0c\r"
 #: Hash buckets of shared keys that are broadcast (so many rows at most), to drop other lines before the exact join.
 BUCKETS = 1 << 20
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
-#: Characters of a line for each edit, where more than one is allowed.
-EDIT_CHARS = 40
+#: Different lines of one variant that are compared without dealing them anew, and how often they are dealt.
+HOT, LEVELS = 400, 3
 
 
-def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, repeat_chars: int | None = None) -> DataFrame:
-    """doc_id, text_key (a hash of the row's text), line_no, line, and h1 and h2 that tell lines apart."""
+def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_key (a hash of the row's text), line_no, line, and h1 and h2 that tell lines apart, of lines that can go."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "raw"))
-    own = own.select("doc_id", "text_key", "line_no", F.btrim("raw", F.lit(BLANK)).alias("line"))
-    long = F.length("line") >= min_chars
-    own = own.filter(long if repeat_chars is None else long | ((F.length("line") >= repeat_chars) & F.col("line").rlike(r"[\p{L}\p{N}]")))
+    own = own.select("doc_id", "text_key", "line_no", F.btrim("raw", F.lit(BLANK)).alias("line")).filter(F.col("line").rlike(r"[\p{L}\p{N}]"))
     return own.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
 
 
-def stretch(bucket: Column, min_chars: int) -> Column:
-    """Characters of one agreeing piece for lines of a bucket of lengths."""
-    return F.floor((F.floor(min_chars * F.pow(F.lit(STEP), bucket)) - 1) / PIECES).cast("int")
+def words_of(line: str) -> list[str]:
+    for c in BLANK[1:]:
+        line = line.replace(c, " ")
+    return [w for w in line.split(" ") if w]
 
 
-def with_keys(lines: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """lines with key, start and behind: a row for each blocking key; the stretch between start and the last
-    ``behind`` characters may differ."""
-    bucket = lambda m: F.floor(F.log(F.greatest(m, F.lit(min_chars)) / min_chars) / math.log(STEP) + 1e-9).cast("int")
-    columns = lines.columns
-    own = lines.withColumn("__n", F.length("line"))
-    # A line within one edit has a length in the same bucket or, at its border, in the next: such lines have keys of both.
-    own = own.withColumns({"__b": bucket(F.col("__n")), "__low": bucket(F.col("__n") - 1), "__high": bucket(F.col("__n") + 1)})
-    own = own.withColumn("__b", F.explode(F.when(F.col("__low") == F.col("__high"), F.array("__b")).otherwise(F.array_distinct(F.array("__b", "__low", "__high")))))
-    own = own.withColumn("__q", stretch(F.col("__b"), min_chars))
-    # Each piece is hashed once, counted from the start and from the end; a key is the hash of its pieces' hashes.
-    q, last = F.col("__q"), PIECES - 1
-    own = own.withColumn("__back", F.substr("line", F.col("__n") - last * q + 1, last * q))
-    own = own.withColumns({f"__{side}{i}": F.xxhash64(F.substr(text, i * q + 1, q)) for side, text in (("f", F.col("line")), ("e", F.col("__back"))) for i in range(last)})
-    pieces = lambda p: [F.col(f"__f{i}") if i < p else F.col(f"__e{i}") for i in range(last)]
-    keys = F.array(*[F.struct(F.xxhash64(F.col("__b"), F.lit(p), *pieces(p)).alias("key"), (p * q).alias("start"), ((last - p) * q).alias("behind")) for p in range(PIECES)])
-    return own.select(*columns, F.explode(keys).alias("__k")).select(*columns, "__k.key", "__k.start", "__k.behind")
+def bound(n: int, edits: int = MOST_EDITS) -> int:
+    """Edits allowed for a pair of which the shorter line has n words."""
+    return min(n // EDIT_WORDS, edits)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(29))
-
-
-def deletions(text: str) -> tuple[np.ndarray, np.uint64]:
-    """Hashes of the text without each of its characters, and of the text; equal strings have equal hashes."""
-    with np.errstate(over="ignore"):
-        chars = _mixed(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1))
-        powers = np.cumprod(np.full(len(chars), BASE, np.uint64))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(chars * powers)])
-        rest = (sums[-1] - sums[1:]) * np.uint64(INVERSE)
-        return sums[:-1] + rest, sums[-1]
-
-
-def variants(shared: DataFrame) -> DataFrame:
-    """v (a hashed variant), at (the place of the deletion, -1 for the stretch itself) and h1, for each line and shared key."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                end = len(row["line"]) - row["behind"]
-                gone, whole = deletions(row["line"][row["start"] : end])
-                with np.errstate(over="ignore"):
-                    v = _mixed(np.append(gone, whole) + _mixed(np.array([row["key"]], np.int64).view(np.uint64)))
-                at = np.append(np.arange(row["start"], end), -1).astype(np.int32)
-                yield pa.record_batch([pa.array(v.view(np.int64)), pa.array(at), pa.array(np.full(len(v), row["h1"], np.int64))], names=["v", "at", "h1"])
-
-    return shared.select("key", "start", "behind", "h1", "line").mapInArrow(rows, "v long, at int, h1 long")
-
-
-def groups(found: DataFrame) -> DataFrame:
-    """g, self and h1 of the members of every group of two or more lines. found: v, at, h1 dealt and sorted by v and at.
-
-    self is null where all members are one replaced character apart, true for a line that equals the others' variant."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
-
-        def flush(v, at, h1):
-            out: list[tuple] = []
-            starts = np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else []
-            for a, b in zip(starts, [*starts[1:], len(v)], strict=True):
-                if b - a < 2 or (h1[a:b] == h1[a]).all():
-                    continue
-                key = int(v[a])
-                if at[a] == -1:  # sorted first
-                    own = a + int((at[a:b] == -1).sum())
-                    if own < b:
-                        out += [(key, -1, True, int(h)) for h in np.unique(h1[a:own])] + [(key, -1, False, int(h)) for h in np.unique(h1[own:b])]
-                for place in np.unique(at[a:b]).tolist():
-                    same = np.unique(h1[a:b][at[a:b] == place])
-                    if place >= 0 and len(same) > 1:
-                        out += [(key, place, None, int(h)) for h in same]
-            if out:
-                columns = zip(*out, strict=True)
-                types = [pa.int64(), pa.int32(), pa.bool_(), pa.int64()]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["v", "at", "self", "h1"])
+def shifts(t: int) -> list[int]:
+    """Numbers from 0 of which some two differ by d, for every d up to t."""
+    s = max(1, math.isqrt(t))
+    return [*range(s), *range(s, s * math.ceil(t / s) + 1, s)]
 
-        for batch in batches:
-            own = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            held = [np.concatenate(x) for x in zip(held, own, strict=True)]
-            if len(held[0]):
-                cut = int(np.searchsorted(held[0], held[0][-1]))
-                yield from flush(*[x[:cut] for x in held])
-                held = [x[cut:] for x in held]
-        yield from flush(*held)
 
-    return found.mapInArrow(rows, "v long, at int, self boolean, h1 long")
+def variants(line: Column, edits: int) -> Column:
+    """Hashes of the line's coarse variants; an empty array for a line that must be equal to go."""
+
+    def of_bucket(words: Column, b: Column) -> Column:
+        first, after = (F.ceil(EDIT_WORDS * F.pow(F.lit(STEP), x) - 1e-6).cast("int") for x in (b, b + 1))
+        k = F.least(F.floor((after - 1) / EDIT_WORDS).cast("int"), F.lit(edits))
+        n = F.size(words)
+
+        def keys(k: int) -> Column:
+            q = F.floor(first / (k + 1)).cast("int")
+            out = []
+            for i in range(k + 1):
+                front = 2 * i <= k
+                own = shifts(i if front else k - i)
+                for a in own:
+                    start = i * q + a if front else n - (k + 1 - i) * q + a
+                    out.append(F.xxhash64(b, F.lit(i), F.slice(words, start + 1, q - own[-1])))
+            return F.array(*out)
+
+        found = F.when(k == 1, keys(1))
+        for j in range(2, edits + 1):
+            found = found.when(k == j, keys(j))
+        return found
+
+    def of_words(words: Column) -> Column:
+        n = F.size(words)
+        bucket = lambda x: F.floor(F.log(x / EDIT_WORDS) / math.log(STEP) + 1e-9).cast("int")
+        # A near line that is shorter, by the edits allowed at most, may be in the bucket before.
+        low = F.greatest(n - F.least(F.floor(n / EDIT_WORDS).cast("int"), F.lit(edits)), F.lit(EDIT_WORDS))
+        both = F.array_distinct(F.array(bucket(n), bucket(low)))
+        return F.array_distinct(F.flatten(F.transform(both, lambda b: of_bucket(words, b))))
+
+    none = F.array().cast("array<bigint>")
+    enough = F.length(line) >= 2 * EDIT_WORDS - 1
+    split = F.when(enough, F.split(line, f"[{BLANK}]+")).otherwise(F.array().cast("array<string>"))
+    return let(split, lambda w: F.when(F.size(w) >= EDIT_WORDS, of_words(w)).otherwise(none))
 
 
 def order() -> Column:
-    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("line_no"))
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_key"), F.col("line_no"))
 
 
-def near_lines(lines: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """h1 of every line that has an earlier line within one edit."""
-    keyed = with_keys(lines, min_chars)
-    active = written(keyed.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo <> hi").select("key"), "keys")
-    # Keys are matched without their texts; then the lines that are left give each text once.
-    bucket = lambda c: F.pmod(F.col(c), F.lit(BUCKETS)).cast("int")
-    some = lambda df, c: F.broadcast(df.select(bucket(c).alias("bucket")).distinct())  # noqa: E731  at most BUCKETS rows
-    passed = keyed.select("key", "start", "behind", "h1").join(some(active, "key"), bucket("key") == F.col("bucket"), "left_semi").join(active, "key", "left_semi")
-    hits = written(passed.distinct(), "hits")
-    wanted = hits.select("h1").distinct()
-    near = lines.select("h1", "line", order().alias("at")).join(some(wanted, "h1"), bucket("h1") == F.col("bucket"), "left_semi").join(wanted, "h1", "left_semi")
-    texts = written(near.groupBy("h1").agg(F.min("at").alias("o"), F.first("line").alias("line")), "texts")
-    shared = hits.join(texts, "h1")
-    found = written(groups(variants(shared).repartition("v").sortWithinPartitions("v", "at")), "groups").withColumnRenamed("at", "place")
-    placed = found.join(texts.select("h1", "o"), "h1")
-    replaced = placed.filter("self IS NULL")
-    first = replaced.groupBy("v", "place").agg(F.min(F.struct("o", "h1")).alias("first"))
-    pairs = replaced.join(first, ["v", "place"]).filter("o > first.o").select("h1", F.col("first.h1").alias("earlier"))
-    longer, shorter = placed.filter("not self"), placed.filter("self").select("v", F.col("h1").alias("h"), F.col("o").alias("p"))
-    pairs = pairs.union(longer.join(shorter, "v").filter("o > p").select("h1", "h"))
-    least = longer.groupBy("v").agg(F.min(F.struct("o", "h1")).alias("first"))
-    pairs = pairs.union(shorter.join(least, "v").filter("p > first.o").select("h", "first.h1")).distinct()
-    a, b = texts.select("h1", F.col("line").alias("own")), texts.select(F.col("h1").alias("earlier"), F.col("line").alias("other"))
-    return pairs.join(a, "h1").join(b, "earlier").filter(F.levenshtein("own", "other", 1) >= 0).select("h1").distinct()
-
-
-def bound(n: int, edits: int) -> int:
-    """Edits allowed for a pair of which the shorter line has n characters."""
-    return max(1, min(n // EDIT_CHARS, edits))
-
-
-def within(a: str, b: str, k: int) -> bool:
-    """Whether the edit distance of the strings is k or less: furthest places reached on each diagonal."""
+def within(a: list[str], b: list[str], k: int) -> bool:
+    """Whether the edit distance of two lists is k or less: furthest places reached on each diagonal."""
     if abs(len(a) - len(b)) > k:
         return False
 
     def run(i: int, j: int) -> int:
-        """i behind the characters that agree from a[i] and b[j] on."""
-        step, most = 8, min(len(a) - i, len(b) - j)
-        end = i + most
-        shift = j - i
-        while i < end and a[i : min(i + step, end)] == b[i + shift : min(i + step, end) + shift]:
-            i, step = min(i + step, end), 2 * step
-        while step:
-            if i + step <= end and a[i : i + step] == b[i + shift : i + step + shift]:
-                i += step
-            else:
-                step //= 2
+        """i behind the items that agree from a[i] and b[j] on."""
+        while i < len(a) and j < len(b) and a[i] == b[j]:
+            i, j = i + 1, j + 1
         return i
 
     goal = len(b) - len(a)
@@ -220,94 +137,95 @@ def within(a: str, b: str, k: int) -> bool:
     return reached.get(goal) == len(a)
 
 
-def shifts(t: int) -> list[int]:
-    """Numbers from 0 of which some two differ by d, for every d up to t."""
-    s = max(1, math.isqrt(t))
-    return [*range(s), *range(s, s * math.ceil(t / s) + 1, s)]
-
-
-def piece_keys(lines: DataFrame, edits: int) -> DataFrame:
-    """key and h1: the blocking keys of lines for which more than one edit is allowed."""
-    least = 2 * EDIT_CHARS
-    bucket = lambda n: F.floor(F.log(n / least) / math.log(STEP) + 1e-9).cast("int")
-    first = lambda b: F.ceil(least * F.pow(F.lit(STEP), b) - 1e-6).cast("int")  # noqa: E731  least length of a bucket
-    own = lines.select("h1", "line", F.length("line").alias("n")).filter(F.col("n") >= least)
-    # A line that is shorter by the edits allowed may be in the bucket before.
-    low = F.greatest(F.col("n") - edits, F.lit(least))
-    own = own.withColumn("b", F.explode(F.array_distinct(F.array(bucket(F.col("n")), bucket(low)))))
-    own = own.withColumn("k", F.least(F.floor(first(F.col("b") + 1) / EDIT_CHARS), F.lit(edits)).cast("int"))
-    own = own.withColumn("q", F.floor(first(F.col("b")) / (F.col("k") + 1)).cast("int"))
-
-    def keys(k: int) -> Column:
-        out = []
-        for i in range(k + 1):
-            front = 2 * i <= k
-            own_shifts = shifts(i if front else k - i)
-            for a in own_shifts:
-                start = i * F.col("q") + a if front else F.col("n") - (k + 1 - i) * F.col("q") + a
-                out.append(F.xxhash64("b", F.lit(i), F.substr("line", start + 1, F.col("q") - own_shifts[-1])))
-        return F.array(*out)
-
-    chosen = F.when(F.col("k") == 2, keys(2))
-    for k in range(3, edits + 1):
-        chosen = chosen.when(F.col("k") == k, keys(k))
-    return own.select("h1", F.explode(F.array_distinct(chosen)).alias("key"))
-
-
 def near_in_keys(found: DataFrame, edits: int) -> DataFrame:
-    """h1 of the lines near an earlier line of their key. found: key, h1, line dealt by key, sorted by key and place."""
+    """h1 and h2 of the lines near an earlier line of their key. found: key, h1, h2, line dealt by key, sorted by key and place."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, earlier, gone = None, [], set()
+        key, earlier = None, []
         for batch in batches:
-            for k, h1, line in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            gone = []
+            for k, h1, h2, line in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if k != key:
                     key, earlier = k, []
-                if h1 not in gone and any(within(x, line, bound(min(len(x), len(line)), edits)) for x in earlier):
-                    gone.add(h1)
-                earlier.append(line)
-            yield pa.record_batch([pa.array(gone, pa.int64())], names=["h1"])
-            gone = set()
+                own = words_of(line)
+                n = len(own)
+                if any(within(x, own, bound(min(len(x), n), edits)) for x in earlier):
+                    gone.append((h1, h2))
+                earlier.append(own)
+            if gone:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*gone, strict=True)], names=["h1", "h2"])
+
+    return small_batches(found).mapInArrow(rows, "h1 long, h2 long")
 
-    return small_batches(found).mapInArrow(rows, "h1 long")
 
+def dealt_anew(hits: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """key, h1 and h2: each line of a key under the key and each of its k + 1 words that are rarest there."""
 
-def further_lines(lines: DataFrame, edits: int) -> DataFrame:
-    """h1 of every line for which more than one edit is allowed and that has an earlier one within the bound."""
-    keyed = piece_keys(lines, edits)
-    active = written(keyed.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo <> hi").select("key"), "keys")
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, h1, h2, line in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                own, seen = words_of(line), Counter()
+                out = []
+                for w in own:  # the second time a word stands in a line it is another token
+                    seen[w] += 1
+                    out.append(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seen[w]) - (1 << 63))
+                n = len(out)
+                yield pa.record_batch([pa.array([x] * n, t) for x, t in ((key, pa.int64()), (h1, pa.int64()), (h2, pa.int64()), (bound(n, edits) + 1, pa.int32()))] + [pa.array(out, pa.int64())], names=["key", "h1", "h2", "most", "token"])
+
+    own = written(small_batches(hits.join(texts, ["h1", "h2"]).select("key", "h1", "h2", "line")).mapInArrow(tokens, "key long, h1 long, h2 long, most int, token long"), "tokens")
+    counted = own.join(own.groupBy("key", "token").agg(F.count("*").alias("n")), ["key", "token"])
+    rare = counted.groupBy("key", "h1", "h2", "most").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("all"))
+    first = rare.select("key", "h1", "h2", F.explode(F.slice("all", F.lit(1), F.col("most"))).alias("t")).filter("t.n > 1")
+    return first.select(F.xxhash64("key", "t.token").alias("key"), "h1", "h2").distinct()
+
+
+def near_lines(docs_lines: DataFrame, keyed: DataFrame, edits: int = MOST_EDITS) -> DataFrame:
+    """h1 and h2 of every line that has an earlier line within the bound. docs_lines: of lines_of(); keyed: h1, h2 and keys."""
+    each = keyed.select("h1", "h2", F.explode("keys").alias("key"))
+    ends = each.groupBy("key").agg(*[f(h).alias(f"{f.__name__}_{h}") for h in ("h1", "h2") for f in (F.min, F.max)])
+    active = written(ends.filter("min_h1 <> max_h1 OR min_h2 <> max_h2").select("key"), "keys")
     bucket = lambda c: F.pmod(F.col(c), F.lit(BUCKETS)).cast("int")
     some = lambda df, c: F.broadcast(df.select(bucket(c).alias("bucket")).distinct())  # noqa: E731  at most BUCKETS rows
-    hits = written(keyed.join(some(active, "key"), bucket("key") == F.col("bucket"), "left_semi").join(active, "key", "left_semi").distinct(), "hits")
-    wanted = hits.select("h1").distinct()
-    near = lines.select("h1", "line", order().alias("at")).join(some(wanted, "h1"), bucket("h1") == F.col("bucket"), "left_semi").join(wanted, "h1", "left_semi")
-    texts = written(near.groupBy("h1").agg(F.min("at").alias("o"), F.first("line").alias("line")), "texts")
-    dealt = hits.join(texts, "h1").repartition("key").sortWithinPartitions("key", "o")
-    return near_in_keys(dealt.select("key", "h1", "line"), edits).distinct()
-
-
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, edits: int = 1, repeat_chars: int | None = None, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """doc_id and gone (numbers of the lines that go, rising) of every document that loses a line; with text_key
-    in ``by``, of every row of its own (rows of one id and text are alike)."""
-    lines = lines_of(docs, id_col, text_col, min_chars, repeat_chars)
-    long = lines if repeat_chars is None else lines.filter(F.length("line") >= min_chars)
-    near = near_lines(long, min_chars)
-    if edits > 1:
-        near = written(near.union(further_lines(long, edits)).distinct(), "near")
-    near = near.withColumn("near", F.lit(True))
+    # Different lines only, before the join by key.
+    passed = each.join(some(active, "key"), bucket("key") == F.col("bucket"), "left_semi").distinct()
+    hits = written(passed.join(active, "key", "left_semi"), "hits")
+    wanted = hits.select("h1", "h2").distinct()
+    near = docs_lines.select("h1", "h2", "line", order().alias("at")).join(some(wanted, "h1"), bucket("h1") == F.col("bucket"), "left_semi")
+    firsts = near.groupBy("h1", "h2").agg(F.min(F.struct("at", "line")).alias("f"))
+    texts = written(firsts.join(wanted, ["h1", "h2"], "left_semi").select("h1", "h2", F.col("f.at").alias("o"), F.col("f.line").alias("line")), "texts")
+    out = None
+    for level in range(LEVELS + 1):
+        hot = written(hits.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key"), "hot") if level < LEVELS else None
+        split = hot is not None and not hot.isEmpty()
+        cool = hits.join(hot, "key", "left_anti") if split else hits
+        dealt = cool.join(texts, ["h1", "h2"]).repartition("key").sortWithinPartitions("key", "o")
+        found = near_in_keys(dealt.select("key", "h1", "h2", "line"), edits)
+        out = found if out is None else out.union(found)
+        if not split:
+            break
+        hits = written(dealt_anew(hits.join(hot, "key", "left_semi"), texts, edits), "hits")
+    return out.distinct()
+
+
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = MOST_EDITS) -> DataFrame:
+    """doc_id, text_key (xxhash64 of the text) and gone (numbers of the lines that go, rising) of every row's id and text that lose a line."""
+    found = lines_of(docs, id_col, text_col)
+    lines = written(found.select("doc_id", "text_key", "line_no", "h1", "h2", variants(F.col("line"), edits).alias("keys")), "lines")
+    near = written(near_lines(found, lines.select("h1", "h2", "keys"), edits), "near").withColumn("near", F.lit(True))
     short = lines.select("h1", "h2", "doc_id", "text_key", "line_no")
-    firsts = short.groupBy("h1", "h2").agg(F.min(order()).alias("first"), F.count("*").alias("n"))
-    wanted = firsts.join(near, "h1", "left").filter("n > 1 OR near")
-    gone = short.join(wanted.select("h1", "h2", "first", "near"), ["h1", "h2"]).filter(F.coalesce("near", F.lit(False)) | (order() > F.col("first")))
-    return gone.groupBy(*by).agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
+    firsts = short.groupBy("h1", "h2").agg(F.min(order()).alias("first"), F.max(order()).alias("last"))
+    wanted = written(firsts.join(near, ["h1", "h2"], "left").filter("first < last OR near").select("h1", "h2", "first", "near"), "wanted")
+    gone = short.join(wanted, ["h1", "h2"]).filter(F.coalesce("near", F.lit(False)) | (order() > F.col("first")))
+    return gone.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
 
 
-def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, edits: int = 1, repeat_chars: int | None = None) -> DataFrame:
+def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = MOST_EDITS) -> DataFrame:
     """docs, the lines that go taken out of their texts; a document of which no word is left goes, unless it had none."""
-    gone = written(removals(docs, id_col, text_col, min_chars, edits, repeat_chars, ("doc_id", "text_key")), "gone").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("gone").alias("__gone"))
+    id_, key, gone, left = (unused(docs, x) for x in ("id", "key", "gone", "left"))
+    found = written(removals(docs, id_col, text_col, edits), "gone").toDF(id_, key, gone)
     # A sorted merge at any size: both sides grow with the documents.
-    joined = docs.join(gone.hint("merge"), docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__key")), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    out = joined.withColumn("__text", F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept))
-    out = out.filter(F.col("__gone").isNull() | (F.length(F.btrim("__text", F.lit(BLANK + "\n"))) > 0))
-    return out.select(*[F.col("__text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    met = F.col(f"`{id_col}`").eqNullSafe(F.col(id_)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(key))
+    kept = F.array_join(F.filter(F.split(F.col(f"`{text_col}`"), "\n", -1), lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
+    out = docs.join(found.hint("merge"), met, "left").withColumn(left, F.when(F.col(gone).isNull(), F.col(f"`{text_col}`")).otherwise(kept))
+    out = out.filter(F.col(gone).isNull() | (F.length(F.btrim(left, F.lit(BLANK + "\n"))) > 0))
+    return out.select(*[F.col(left).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -36,13 +36,18 @@ SELECT *, n_words < {quality_rules.LEAST_WORDS} OR 100 * n_repeat_words > {quali
   NOT (n_words < {quality_rules.LEAST_WORDS} OR 100 * n_repeat_words > {quality_rules.MOST_REPEATED_PERCENT} * n_words) AND 100 * n_lost_words <= {quality_rules.MOST_LOST_PERCENT} * n_words AS kept FROM out
 """
 
+# Near lines share a run of four words: with k edits and 8 k or more words, one of k + 1 stretches is untouched. The edit
+# distance is a fold over the first line's words: x holds the row that comes from above and from the diagonal, and a
+# running least adds what comes from the left.
 LINES = rf"""
 WITH l AS (SELECT doc_id, no - 1 AS no, trim(lines[no], chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS no FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL))),
-f AS (SELECT line, min((doc_id, no)) AS pos FROM l WHERE length(line) >= {line_dedup.MIN_CHARS} GROUP BY 1),
-v AS (SELECT line, pos, i, hash(substr(line, 1, i - 1) || substr(line, i + 1)) AS h FROM (SELECT *, unnest(range(1, length(line) + 1)) AS i FROM f)),
-cut AS (SELECT a.line AS x, a.pos AS xa, b.line AS y, b.pos AS ya, a.i FROM v a JOIN v b ON a.h = b.h AND a.i = b.i AND a.line <> b.line WHERE substr(a.line, 1, a.i - 1) = substr(b.line, 1, a.i - 1) AND substr(a.line, a.i + 1) = substr(b.line, a.i + 1)),
-del AS (SELECT v.line AS x, v.pos AS xa, f.line AS y, f.pos AS ya FROM v JOIN f ON v.h = hash(f.line) WHERE substr(v.line, 1, v.i - 1) || substr(v.line, v.i + 1) = f.line),
-near AS (SELECT x AS line FROM cut WHERE ya < xa UNION SELECT x FROM del WHERE ya < xa UNION SELECT y FROM del WHERE xa < ya),
+f AS (SELECT line, min((doc_id, no)) AS pos FROM l WHERE regexp_matches(line, '[\p{{L}}\p{{N}}]') GROUP BY 1),
+w AS (SELECT *, len(ws) AS n, row_number() OVER () AS id FROM (SELECT line, pos, regexp_extract_all(line, '[^\x20\t\x0b\x0c\r]+') AS ws FROM f) WHERE len(ws) >= {line_dedup.EDIT_WORDS}),
+g AS (SELECT DISTINCT id, array_to_string(ws[i:i + 3], ' ') AS gram FROM (SELECT id, ws, unnest(range(1, n - 2)) AS i FROM w)),
+c AS (SELECT DISTINCT a.id AS a, b.id AS b FROM g a JOIN g b USING (gram) WHERE a.id <> b.id),
+p AS (SELECT y.line, x.ws AS xs, y.ws AS ys, least(least(x.n, y.n) // {line_dedup.EDIT_WORDS}, {line_dedup.MOST_EDITS}) AS k FROM c JOIN w x ON x.id = c.a JOIN w y ON y.id = c.b WHERE x.pos < y.pos AND abs(x.n - y.n) <= least(least(x.n, y.n) // {line_dedup.EDIT_WORDS}, {line_dedup.MOST_EDITS})),
+e AS (SELECT line, k, list_reduce(list_transform(xs, lambda v: list_transform(ys, lambda u: (u <> v)::INT)), lambda r, m: list_transform(range(0, len(r)), lambda j: (j + list_min(list_transform(range(0, j + 1), lambda i: CASE WHEN i = 0 THEN r[1] + 1 ELSE least(r[i + 1] + 1, r[i] + m[i]) - i END)))::INT), list_transform(range(0, len(ys) + 1), lambda i: i::INT))[len(ys) + 1] AS d FROM p),
+near AS (SELECT DISTINCT line FROM e WHERE d <= k),
 gone AS (SELECT doc_id, count(DISTINCT no) AS n, list_sort(list(DISTINCT no)) AS nos FROM l JOIN f USING (line) LEFT JOIN (SELECT line, true AS near FROM near) USING (line) WHERE near OR (doc_id, no) > pos GROUP BY 1)
 SELECT d.doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_lines, coalesce(n, 0) AS n_removed, coalesce(array_to_string(nos, ','), '') AS removed_lines FROM documents d LEFT JOIN gone USING (doc_id)
 """

@@ -44,10 +44,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every document: its number of lines and the numbers of those that go."""
-    docs = table(spark, sf_dir, "documents")
-    gone = line_dedup.removals(docs).withColumnRenamed("doc_id", "__id")
-    own = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
-    found = own.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    gone = line_dedup.removals(docs).toDF("id", "key", "gone")
+    own = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
+    found = own.join(gone, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
     return found.select("doc_id", "n_lines", F.size("gone").cast("long").alias("n_removed"), F.array_join("gone", ",").alias("removed_lines"))
 
 

@@ -58,7 +58,7 @@ def test_stages_equal_plain_python(spark, folder):
     before, after = rows["language"]
     assert {r.doc_id for r in after} == set(range(152))
     before, after = rows["lines"]
-    gone = plain_lines(sorted(before.items()))
+    gone = {row[0]: x for row, x in plain_lines(sorted(before.items())).items()}
     want = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(d, [])) for d, t in before.items()}
     assert {r.doc_id: r.text for r in after} == {d: t for d, t in want.items() if t.strip() or not before[d].strip()}
     before, after = rows["near_duplicates"]
