@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writ
 shared folder and reads again for the next. All but the last return the columns of documents.
 
 1. language: documents whose language is rejected (or that have no letters) go.
-2. lines: near-duplicate lines (up to LINE_EDITS edits, fewer in short lines) and exact repeats of any length go; documents of which nothing is left go.
+2. lines: exact repeats of lines and lines within a few words of an earlier one go; documents of which no word is left go.
 3. near_duplicates: of each SimHash component the document of the smallest id stays.
 4. decontaminate: spans of benchmark passages leave the texts; documents of which no word is left go.
 5. pack: the rest as token pieces in sequences.
@@ -22,10 +22,6 @@ from frameloom.llm.common import table, written
 from frameloom.llm.queries import tokenizer_path
 
 ORACLE_SQL = None
-#: Most edits of a near-duplicate line.
-LINE_EDITS = 5
-#: Least characters of a line that goes as an exact repeat, if it has a letter or digit.
-REPEAT_CHARS = 1
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +35,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their near-duplicate lines."""
-    return line_dedup.deduped(docs, edits=LINE_EDITS, repeat_chars=REPEAT_CHARS)
+    return line_dedup.deduped(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
