@@ -29,27 +29,81 @@ def test_held_out_quality(spark):
     assert sum((r.score >= 0.5) == truth[r.doc_id] for r in held) / len(held) > 0.97
 
 
-def test_label_model_recovers_rates_and_correlation():
+def votes_and_truth(n=40_000):
     rng = np.random.default_rng(1)
-    n = 40_000
     y = rng.random(n) < 0.2
     votes = np.zeros((n, toxicity.VOTERS), int)
     accuracy = [0.9, 0.7, 0.5, 0.4]
     for j, a in enumerate(accuracy):
         votes[:, j] = np.where(y, rng.random(n) < a, rng.random(n) < 0.03)
     votes[:, 4] = votes[:, 3]  # the same voter again
-    patterns, counts = np.unique(votes @ (1 << np.arange(toxicity.VOTERS)), return_counts=True)
-    start = np.stack([np.full(toxicity.VOTERS, 0.05), np.full(toxicity.VOTERS, 0.3)])
-    model = toxicity.LabelModel(patterns, counts.astype(float), start, 0.15, np.array([1.0, 1.0]) * 1e-9)
-    assert np.allclose(model.rates[1, :4], accuracy, atol=0.08) and abs(model.prior - 0.2) < 0.05
-    assert model.correlations[3, 4] > 0.9 and model.weights[3] < 0.6 < model.weights[0]
+    return y, votes, accuracy
+
+
+def model_of(votes, y, labelled):
+    codes = votes @ (1 << np.arange(toxicity.VOTERS))
+    patterns, counts = np.unique(codes, return_counts=True)
+    known = np.stack([[(codes[:labelled][y[:labelled] == c] == p).sum() for p in patterns] for c in (0, 1)]).astype(float)
+    return patterns, toxicity.LabelModel(patterns, counts.astype(float), known)
+
+
+def test_label_model_recovers_rates_and_correlation():
+    y, votes, accuracy = votes_and_truth()
+    for labelled in (1000, 8000):
+        _, model = model_of(votes, y, labelled)
+        assert np.allclose(model.rates[1, :4], accuracy, atol=0.06) and abs(model.prior - 0.2) < 0.03
+        assert model.correlations[3, 4] > 0.9 and (model.parents[4] == 3 or model.parents[3] == 4)
+    # A voter that only repeats another adds nothing.
+    got = model.posterior(np.array([0b11000, 0b00001]))
+    want = 0.2 * 0.1 * 0.3 * 0.5 * 0.4 / (0.2 * 0.1 * 0.3 * 0.5 * 0.4 + 0.8 * 0.97**3 * 0.03)
+    assert abs(got[0] - want) < 0.05 < got[1]
     assert (np.diff(model.posterior(np.array([0, 1, 3, 7]))) > 0).all()
 
 
-def test_lexicon():
+def test_posterior_equals_bayes_by_hand():
+    y, votes, _ = votes_and_truth(4000)
+    patterns, model = model_of(votes, y, 500)
+    for code in [*patterns.tolist(), (1 << toxicity.VOTERS) - 1]:
+        bits = [code >> j & 1 for j in range(toxicity.VOTERS)]
+        joint = []
+        for c, p in ((0, 1 - model.prior), (1, model.prior)):
+            for j, parent in enumerate(model.parents):
+                fires = model.table[c, j, bits[parent] if parent >= 0 else 0]
+                p *= fires if bits[j] else 1 - fires
+            joint.append(p)
+        assert np.isclose(model.posterior(np.array([code]))[0], joint[1] / sum(joint), atol=1e-9)
+
+
+def voters(own, text):
+    return {j for j in range(toxicity.VOTERS) if own.judged(text)[1] >> j & 1}
+
+
+def test_lexicon_and_voters():
     own = toxicity.Lexicon(["moron", "badst*", "badste*", "other"])
     assert own.held("A Moron, badstem! (OTHER)") == [0, 1, 2, 3] and own.held("badst") == [] and own.held(None) == []
-    assert own.votes("a", []) == 0
+    assert own.judged(None) == ([], 0) and own.judged("a b") == ([], 0)
+    fixed, first = toxicity.FIXED_VOTER, toxicity.FIXED_VOTER + 1
+    assert voters(own, "the moron") == {fixed} and voters(own, "badstem x") == {4, 5} and voters(own, "other") == {0}
+    tail = "calm words " * 3000
+    assert voters(own, (tail + "and more " * 9).upper()) == {first} and voters(own, tail + "what!! no!! stop?!?") == {first + 1}
+    assert voters(own, tail + "sooo nice") == {first + 2} and voters(own, tail + "m0ron") == {first + 3}
+    assert voters(own, tail + "you are a moron") == {fixed, first + 4} and voters(own, "moron " + tail + " you") == {fixed}
+
+
+def test_entries_are_counted_over_all_labelled_rows(spark):
+    docs, labels = corpus(400)
+    texts = dict((i, t) for i, t, _ in docs)
+    learned = spark.createDataFrame([(texts[i], bool(x)) for i, x in labels], "text string, toxic boolean")
+    want = {c: {} for c in (True, False)}
+    for i, x in labels:
+        for e in toxicity.candidates(toxicity.words_of(texts[i])):
+            want[bool(x)][e] = want[bool(x)].get(e, 0) + 1
+    for c in (True, False):
+        assert {r.entry: r.n for r in toxicity.entry_counts(learned.filter(f"toxic = {c}")).collect()} == want[c]
+    wanted = np.zeros(toxicity.BUCKETS, bool)
+    wanted[toxicity.bucket_of("moron")] = True
+    got = {r.entry for r in toxicity.entry_counts(learned, wanted).collect()}
+    assert "moron" in got and got == {e for e in {**want[True], **want[False]} if wanted[toxicity.bucket_of(e)]}
 
 
 def test_odd_tables(spark, odd, none):
