@@ -83,7 +83,7 @@ def test_lexicon_and_voters():
     assert own.held("A Moron, badstem! (OTHER)") == [0, 1, 2, 3] and own.held("badst") == [] and own.held(None) == []
     assert own.judged(None) == ([], 0) and own.judged("a b") == ([], 0)
     fixed, first = toxicity.FIXED_VOTER, toxicity.FIXED_VOTER + 1
-    assert voters(own, "the moron") == {fixed} and voters(own, "badstem x") == {4, 5} and voters(own, "other") == {0}
+    assert voters(own, "the moron") == {fixed} and voters(own, "badstem x") == {5, 6} and voters(own, "other") == {0}
     tail = "calm words " * 3000
     assert voters(own, (tail + "and more " * 9).upper()) == {first} and voters(own, tail + "what!! no!! stop?!?") == {first + 1}
     assert voters(own, tail + "sooo nice") == {first + 2} and voters(own, tail + "m0ron") == {first + 3}
