@@ -116,35 +116,6 @@ def quiet_tokenizers() -> None:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
 
-class Recent:
-    """Values kept for keys seen lately: at most 2 * size of them, those used again staying longest."""
-
-    def __init__(self, size: int):
-        self.size, self.now, self.older = size, {}, {}
-
-    def find(self, keys) -> tuple[dict, list]:
-        """What is kept for the keys, and the keys for which nothing is."""
-        found, missing, now, older = {}, [], self.now.get, self.older
-        for key in keys:
-            value = now(key)
-            if value is not None:
-                found[key] = value
-            elif key in older:
-                found[key] = self.now[key] = older[key]
-            else:
-                missing.append(key)
-        self._turn()
-        return found, missing
-
-    def add(self, made: dict) -> None:
-        self.now.update(made)
-        self._turn()
-
-    def _turn(self) -> None:
-        if len(self.now) > self.size:
-            self.older, self.now = self.now, {}
-
-
 class Remembered(dict):
     """A dict that makes a missing key's value and forgets everything but ``fixed`` once it holds over ``size`` more."""
 

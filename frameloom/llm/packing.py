@@ -4,8 +4,9 @@ Texts become token ids and one end id; only what is longer than a sequence is cu
 sequences of their own. The others are dealt over partitions of bounded size, each packed by
 best-fit decreasing. A partition whose bin count equals a lower bound from dual feasible functions
 is certified optimal and final. The rest keep their full bins; what lies in bins with room is
-exchanged between partitions (dealt anew over fewer, so that sizes mix) and packed again, until all
-are certified, one partition is left, or the rounds end.
+exchanged between partitions (dealt anew, over fewer at first, so that sizes mix) and packed again, until
+all are certified, one partition is left, or a pass over all saves hardly a bin (LEAST_SAVED). Each piece tells how many bins the
+partition took that closed its bin, and the bound: equal numbers are a certificate.
 
 Edge cases: a null or empty text is the end id alone; documents of equal id are packed each by
 itself, in any order; ties of length go by id, piece and checksum; an empty table gives an empty
@@ -27,9 +28,10 @@ from frameloom.llm.common import parts_for, small_batches, text_groups, written
 from frameloom.llm.subwords import word_bpe
 
 CAPACITY, END_ID = 2048, 0
-#: Pieces in one packing partition at the start; partitions grow by the rounds' factor at most.
-PIECES_EACH = 40_000
-ROUNDS = 4
+#: Pieces in one packing partition at the start; later ones hold up to GROWTH times as many.
+PIECES_EACH, GROWTH = 40_000, 4
+#: The exchange ends when a pass over all saves no more than this share of the bins with room.
+LEAST_SAVED = 0.001
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
@@ -108,40 +110,41 @@ def _packer(capacity: int, round_no: int):
             if old.max() + 1 <= count:
                 bins, offsets, count = old, rows["offset"].to_numpy(np.int64), int(old.max()) + 1
         full = np.bincount(bins, lengths, count) == capacity
-        proved = count == lower_bound(lengths, capacity)
-        return rows.assign(bin=bins, offset=offsets, round=round_no, final=full[bins] | proved).drop(columns="from_part")
+        bound = lower_bound(lengths, capacity)
+        # A full bin is certified by itself, and so closed before the rest of its partition.
+        alone = full & (count > bound)
+        return rows.assign(bin=bins, offset=offsets, round=round_no, final=full[bins] | (count == bound), bins=np.where(alone, 1, count)[bins], bound=np.where(alone, 1, bound)[bins]).drop(columns="from_part")
 
     return pack
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, pieces_each: int = PIECES_EACH, rounds: int = ROUNDS) -> DataFrame:
-    """The pieces' columns with sequence_id and offset (places in a sequence are gapless from 0)."""
+def pack(pieces: DataFrame, capacity: int = CAPACITY, pieces_each: int = PIECES_EACH, rounds: int | None = None) -> DataFrame:
+    """The pieces' columns with sequence_id, offset (places in a sequence are gapless from 0), and bins and bound of
+    the partition that closed the sequence. rounds: an end before the last exchange, for comparison."""
     columns = pieces.columns
     pieces = written(pieces, "pieces")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields)
     whole = pieces.filter(F.col("length") == capacity)
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     # A full piece's sequence is told by its document and place; repeated rows differ by the row's number.
-    done = [whole.select(*columns, F.monotonically_increasing_id().alias("bin"), F.lit(0).cast("long").alias("offset"), F.lit(0).alias("round"), F.lit(0).cast("long").alias("part"))]
-    todo = pieces.filter(F.col("length") < capacity).withColumns({x: F.lit(0).cast("long") for x in ("from_part", "bin", "offset")})
-    left, last_parts = todo.count(), None
-    for round_no in range(1, rounds + 1):
-        if not left:
-            break
-        parts = parts_for(left, pieces_each if round_no == 1 else pieces_each * 2 ** min(round_no - 1, 2))
-        if last_parts is not None and parts >= last_parts and last_parts > 1:
-            parts = max(1, last_parts // 2)
+    done = [whole.select(*columns, F.monotonically_increasing_id().alias("bin"), zero.alias("offset"), F.lit(0).alias("round"), zero.alias("part"), one.alias("bins"), one.alias("bound"))]
+    todo = pieces.filter(F.col("length") < capacity).withColumns({x: zero for x in ("from_part", "bin", "offset")})
+    left, open_bins, round_no = todo.count(), None, 0
+    while left:
+        round_no += 1
+        parts = parts_for(left, pieces_each * min(2 ** (round_no - 1), GROWTH))
         by = ["doc_id", "piece"] if round_no == 1 else ["from_part", "bin"]
         dealt = todo.withColumn("part", F.pmod(F.xxhash64(*by, F.lit(round_no)), F.lit(parts)))
-        packed = written(dealt.groupBy("part").applyInPandas(_packer(capacity, round_no), f"{schema}, part long, bin long, offset long, round int, final boolean"), "packed")
-        keep = [*columns, "bin", "offset", "round", "part"]
-        last = round_no == rounds or parts == 1
-        done.append((packed if last else packed.filter("final")).select(*keep))
+        packed = written(dealt.groupBy("part").applyInPandas(_packer(capacity, round_no), f"{schema}, part long, bin long, offset long, round int, final boolean, bins long, bound long"), "packed")
+        rest = packed.filter("not final").agg(F.count("*"), F.count_distinct("part", "bin")).first()
+        idle = open_bins is not None and open_bins - rest[1] <= LEAST_SAVED * open_bins
+        last = parts == 1 or not rest[0] or round_no == rounds or idle
+        done.append((packed if last else packed.filter("final")).select(*columns, "bin", "offset", "round", "part", "bins", "bound"))
         if last:
             break
-        todo, last_parts = packed.filter("not final").select(*columns, F.col("part").alias("from_part"), "bin", "offset"), parts
-        left = todo.count()
+        todo, (left, open_bins) = packed.filter("not final").select(*columns, F.col("part").alias("from_part"), "bin", "offset"), rest
     union = done[0]
     for d in done[1:]:
         union = union.unionByName(d)
-    number = F.when(F.col("round") == 0, F.col("bin") * 2 + 1).otherwise(((F.col("part") * 8 + F.col("round")) * (1 << 24) + F.col("bin")) * 2)
-    return union.select(*columns, number.alias("sequence_id"), "offset")
+    number = F.when(F.col("round") == 0, F.col("bin") * 2 + 1).otherwise(((F.col("part") * 1024 + F.col("round")) * (1 << 24) + F.col("bin")) * 2)
+    return union.select(*columns, number.alias("sequence_id"), "offset", "bins", "bound")

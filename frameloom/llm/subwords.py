@@ -1,8 +1,8 @@
 """Token ids of whole texts for a lower-casing BPE with word ends, from remembered words.
 
-Such a file's pre-tokenizer never keeps white space, so a text's ids are those of its words in a row.
-A word's ids are remembered; for a new word its pre-tokens are looked up, and only new pre-tokens
-reach the library's merges, many at once.
+Such a file's pre-tokenizer never keeps white space, so a text's ids are those of its words in a row. Commas and
+full stops that touch no other mark are pre-tokens of their own, and are set apart from their words first. A word's
+ids are remembered; only new pre-tokens reach the library's merges, many at once.
 """
 
 from __future__ import annotations
@@ -14,11 +14,16 @@ from itertools import chain
 
 import numpy as np
 
-from frameloom.llm.common import Recent, quiet_tokenizers
+from frameloom.llm.common import quiet_tokenizers
 
-WORDS_REMEMBERED, PRETOKENS_REMEMBERED = 150_000, 250_000
-#: Below this code point the classes of letters and digits are the same in every Unicode version in use.
-SIMPLE = re.compile("[^\x00-ɏ]")
+#: Words that a worker remembers, besides those of the texts at hand.
+REMEMBERED = 400_000
+#: In this range the classes of letters and digits are the same in every Unicode version in use, composed forms
+#: stand for themselves, and a letter's small form is one letter (but that of U+0130).
+SIMPLE = re.compile("[^\x00-\u012f\u0131-\u024f]")
+MARKS = re.escape("".join(c for c in map(chr, range(0x250)) if c not in "\t\n\x0b\x0c\r \x85\xa0" and unicodedata.category(c)[0] not in "LN"))
+#: A comma or full stop beside another mark, with which it is one pre-token.
+JOINED = re.compile(f"[{MARKS}][.,]|[.,][{MARKS}]")
 #: The pre-tokens of such a file, for the simple range; checked against the file before use.
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _made: dict[str, WordBpe] = {}
@@ -41,21 +46,11 @@ class WordBpe:
         self.findall = regex.compile(PATTERN).findall
         self.last = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
         self.last[[i for t, i in spec["model"]["vocab"].items() if t.endswith("</w>")]] = True
-        self.words = Recent(WORDS_REMEMBERED)
-        self.pretokens = Recent(PRETOKENS_REMEMBERED)
+        self.known: dict[str, bytes] = {"": b""}
 
     def _library(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _pretokens(self, word: str) -> list[str]:
-        """Of a simple word; plain ones, and those with one mark behind, need no pattern."""
-        low = (word if word.isascii() else unicodedata.normalize("NFC", word)).lower()
-        if low.isalpha():
-            return [low]
-        if low[-1:] in (".", ",") and low[:-1].isalpha():
-            return [low[:-1], low[-1]]
-        return self.findall(low)
-
     def _merge(self, new: list[str]) -> dict[str, bytes]:
         """Ids of pre-tokens: runs of letters many at a time (a merge's last token tells where one ends), others alone."""
         found = {}
@@ -70,31 +65,45 @@ class WordBpe:
         found.update((p, self._library(p)) for p in new if p not in found)
         return found
 
-    def _look_up(self, keys: set[str], kept: Recent, make) -> dict[str, bytes]:
-        """The keys' ids: what is kept already, and what make(list of the others) gives."""
-        found, missing = kept.find(keys)
-        if missing:
-            made = make(missing)
-            kept.add(made)
-            found |= made
-        return found
-
-    def _words(self, new: list[str]) -> dict[str, bytes]:
-        odd = [w for w in new if not w.isascii() and SIMPLE.search(w) or "<|" in w]
-        found = {w: self._library(w) for w in odd}
-        split = {w: self._pretokens(w) for w in new if w not in found}
-        of = self._look_up(set(chain.from_iterable(split.values())), self.pretokens, self._merge)
-        found.update((w, of[p[0]] if len(p) == 1 else b"".join([of[x] for x in p])) for w, p in split.items())
-        return found
+    def _learn(self, new: set[str]) -> None:
+        """Ids of words that are not known yet."""
+        known = self.known
+        simple = {w for w in new if w.isascii() or not SIMPLE.search(w)}
+        plain = {w for w in simple if w.isalpha() and w.islower()}
+        known.update(self._merge(list(plain)))
+        split = {}
+        for w in new - plain:
+            if w not in simple or "<|" in w:
+                known[w] = self._library(w)
+            else:
+                split[w] = self.findall(w.lower())
+        made = self._merge(list(set(chain.from_iterable(split.values())) - known.keys()))
+        of = lambda p: made[p] if p in made else known[p]
+        known.update((w, b"".join(map(of, own))) for w, own in split.items())
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids, little-endian unsigned 32-bit; null is empty."""
         if not self.by_word:
             return [self._library(t) if t else b"" for t in texts]
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        of = self._look_up(set(chain.from_iterable(split)), self.words, self._words).__getitem__
+        split = list(map(self._words, texts))
+        words = set(chain.from_iterable(split))
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+            self.known[""] = b""
+        if new := words - self.known.keys():
+            self._learn(new)
+        of = self.known.__getitem__
         return [b"".join(map(of, parts)) for parts in split]
 
+    def _words(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if text.isascii() or not SIMPLE.search(text):
+            text = text.lower()
+            if not JOINED.search(text):
+                text = text.replace(",", " , ").replace(".", " . ")
+        return text.replace("\n", " ").split(" ")
+
 
 def word_bpe(path: str) -> WordBpe:
     if path not in _made:

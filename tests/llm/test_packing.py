@@ -58,6 +58,17 @@ def test_bound_never_exceeds_optimum(seed):
     assert packing.best_fit_decreasing(np.array(sorted(lengths, reverse=True)), capacity)[2] >= best
 
 
+def test_ids_equal_the_library():
+    from frameloom.llm.subwords import word_bpe
+
+    rng = random.Random(8)
+    parts = ["a", "B", "word", "É", "é", "ß", "İ", "µ", "²", "½", "×", "_", ".", ",", "..", "'", "'s", "'T", "it's", "-", '"', "(", "1", "23", " ", " ", " ", "\n", "\t", "\x85", "\xa0", "\x1c", "\x00", "日", "Σ", "é", "ﬁ", "<|", "<|endoftext|>", "\U0001f642"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(6000)] + ["".join(rng.choice(parts[:33]) for _ in range(30)) for _ in range(2000)]
+    library, of = Tokenizer.from_file(WORD), word_bpe(WORD)
+    got = [np.frombuffer(x, "<u4").tolist() for i in range(0, len(texts), 500) for x in of.ids(texts[i : i + 500])]
+    assert [(t, x) for t, x in zip(texts, got, strict=True) if x != library.encode(t, add_special_tokens=False).ids] == []
+
+
 def test_pieces_round_trip(odd, none):
     pieces = packing.pieces_of(odd, WORD, with_ids=True).collect()
     library = Tokenizer.from_file(WORD)
@@ -80,7 +91,32 @@ def test_repacking_nears_the_bound(spark):
     rng = random.Random(3)
     lengths = [rng.randint(1, 100) for _ in range(3000)]
     pieces = spark.createDataFrame([(i, 0, 0, n, i, None) for i, n in enumerate(lengths)], packing.PIECES)
-    pack = lambda *how: check_places(packing.pack(pieces, 100, *how).collect(), 100)
-    once, exchanged, together = pack(100, 1), pack(100, 4), pack(3000, 1)
+    def pack(*how):
+        rows = packing.pack(pieces, 100, *how).collect()
+        assert all(r.bins >= r.bound >= 1 for r in rows)
+        return check_places(rows, 100)
+
+    once, exchanged, together = pack(100, 1), pack(100), pack(3000)
     assert packing.lower_bound(np.array(lengths), 100) <= together <= exchanged < once
     assert together <= packing.lower_bound(np.array(lengths), 100) * 1.01
+
+
+def test_the_exchange_goes_on_until_nothing_is_saved(spark):
+    """Many small partitions: what is certified has as many bins as its bound, and no bin is lost on the way."""
+    rng = random.Random(6)
+    lengths = [rng.choice([34, 35, 51, 60, 97]) for _ in range(400)] + [rng.randint(1, 30) for _ in range(60)]
+    pieces = spark.createDataFrame([(i, 0, 0, n, i, None) for i, n in enumerate(lengths)], packing.PIECES)
+    rows = packing.pack(pieces, 100, 20).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(460))
+    first = check_places(packing.pack(pieces, 100, 20, 1).collect(), 100)
+    assert packing.lower_bound(np.array(lengths), 100) <= check_places(rows, 100) <= first
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_a_certified_packing_is_the_optimum(spark, seed):
+    rng = random.Random(seed)
+    lengths = [rng.randint(5, 60) for _ in range(9)]
+    pieces = spark.createDataFrame([(i, 0, 0, n, i, None) for i, n in enumerate(lengths)], packing.PIECES)
+    rows = packing.pack(pieces, 100).collect()
+    used, best = check_places(rows, 100), optimum(lengths, 100)
+    assert used >= best and (any(r.bins > r.bound for r in rows) or used == best)
