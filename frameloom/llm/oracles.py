@@ -65,22 +65,29 @@ _LIST = "coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank,
 PERSONAL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 hits AS (SELECT doc_id, kind, rank, ms[k] AS v, {_PLACE} AS s, regexp_replace(ms[k], '[^0-9]', '', 'g') AS dg FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM ({_FOUND}))),
-base AS (SELECT doc_id, kind, rank, v, s, s + length(v) AS e FROM hits WHERE CASE kind WHEN 'ip' THEN len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(x AS INT), 256) > 255)) = 0
+base AS (SELECT doc_id, kind, rank, v, dg, s, s + length(v) AS e FROM hits WHERE CASE kind WHEN 'ip' THEN len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(x AS INT), 256) > 255)) = 0
   WHEN 'card' THEN length(dg) BETWEEN 14 AND 19 AND list_sum(list_transform(range(0, length(dg)), lambda i: CASE WHEN i % 2 = 0 THEN substr(dg, length(dg) - i, 1)::INT WHEN substr(dg, length(dg) - i, 1)::INT > 4 THEN 2 * substr(dg, length(dg) - i, 1)::INT - 9 ELSE 2 * substr(dg, length(dg) - i, 1)::INT END)) % 10 = 0
   WHEN 'phone' THEN length(dg) BETWEEN 10 AND 15 ELSE true END),
-sides AS (SELECT base.doc_id, v, s, e, text, true AS behind, substr(text, e + 1, {pii.REACH_CHARS}) || CASE WHEN e + {pii.REACH_CHARS} >= length(text) THEN ' ' ELSE '' END AS win FROM base JOIN d USING (doc_id)
-  UNION ALL SELECT base.doc_id, v, s, e, text, false, reverse(substr(text, greatest(s - {pii.REACH_CHARS}, 0) + 1, s - greatest(s - {pii.REACH_CHARS}, 0))) || CASE WHEN s <= {pii.REACH_CHARS} THEN ' ' ELSE '' END FROM base JOIN d USING (doc_id)),
-runs AS (SELECT *, unnest(range(1, least(len(ms), {pii.REACH}) + 1)) AS k FROM (SELECT *, regexp_extract_all(win, '\p{{L}}+') AS ms, string_split_regex(win, '\p{{L}}+') AS bs FROM sides)),
-words AS (SELECT doc_id, v, text, behind, s, e, ms[k] AS w, {_PLACE} AS off FROM runs WHERE k < len(ms) OR bs[len(ms) + 1] <> ''),
-near AS (SELECT DISTINCT doc_id, text, v AS entity, lower(CASE WHEN behind THEN w ELSE reverse(w) END) AS term, CASE WHEN behind THEN e + off ELSE s - off - length(w) END AS s, CASE WHEN behind THEN e + off + length(w) ELSE s - off END AS e FROM words WHERE length(w) >= 3),
-pairs AS (SELECT entity, term, count(DISTINCT doc_id) AS n_both FROM near GROUP BY ALL HAVING count(DISTINCT text) >= {pii.SUPPORT}),
-ents AS (SELECT entity, count(DISTINCT doc_id) AS n_entity FROM near GROUP BY 1),
-terms AS (SELECT term, count(*) AS n_term FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '\p{{L}}{{3,}}'))) AS term FROM d) GROUP BY 1),
-told AS (SELECT entity, term FROM pairs JOIN ents USING (entity) JOIN terms USING (term), (SELECT count(*) AS n FROM d) WHERE n > n_entity AND round(log2(n * n_both / (n_term * n_entity)) / log2(n / n_entity), 9) >= {pii.THRESHOLD}),
-extra AS (SELECT DISTINCT doc_id, 'term' AS kind, {len(_KINDS)} AS rank, s, e FROM near JOIN told USING (entity, term) WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = near.doc_id AND near.s < b.e AND b.s < near.e)),
+ent AS (SELECT doc_id, kind, v, s, kind || ':' || CASE WHEN kind IN ('card', 'phone') THEN dg ELSE lower(v) END AS exact,
+  CASE kind WHEN 'email' THEN lower(split_part(v, '@', 2)) WHEN 'ip' THEN split_part(v, '.', 1) || '.' || split_part(v, '.', 2) WHEN 'card' THEN substr(dg, 1, 6) ELSE substr(dg, 1, 4) END AS wide,
+  CASE WHEN kind = 'email' THEN regexp_replace(lower(split_part(v, '@', 1)), '[^a-z]', '', 'g') ELSE '' END AS usr FROM base),
+held AS (SELECT DISTINCT doc_id, entity FROM (SELECT doc_id, unnest([exact, 'in ' || kind || ':' || wide, CASE WHEN length(usr) >= 3 THEN 'user:' || usr END]) AS entity FROM ent) WHERE entity IS NOT NULL),
+ents AS (SELECT entity, count(*) AS n_entity, count(DISTINCT text) AS n_texts FROM held JOIN d USING (doc_id) GROUP BY 1),
+docs AS (SELECT doc_id, text, list_distinct(list_transform(regexp_extract_all(text, '\p{{L}}{{3,}}'), lambda x: lower(x))) AS ws FROM d),
+pairs AS (SELECT entity, term, count(*) AS n_both, count(DISTINCT text) AS k FROM (SELECT entity, text, unnest(ws) AS term FROM held JOIN ents USING (entity) JOIN docs USING (doc_id) WHERE n_texts > 1) GROUP BY ALL),
+terms AS (SELECT term, count(*) AS n_term FROM (SELECT unnest(ws) AS term FROM docs) GROUP BY 1),
+told AS (SELECT entity, term FROM pairs JOIN ents USING (entity) JOIN terms USING (term), (SELECT count(*) AS n FROM d) WHERE n > n_entity AND round(log2(n * n_both / (n_term * n_entity)) / log2(n / n_entity) * (k / (k + 1)), 9) >= {pii.THRESHOLD}),
+marked AS (SELECT doc_id, list(DISTINCT term) AS terms FROM held JOIN told USING (entity) GROUP BY 1),
+runs AS (SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM (SELECT doc_id, terms, regexp_extract_all(text, '\p{{L}}{{3,}}') AS ms, string_split_regex(text, '\p{{L}}{{3,}}') AS bs FROM marked JOIN d USING (doc_id))),
+found AS (SELECT doc_id, {_PLACE} AS s, ms[k] AS w FROM runs WHERE list_contains(terms, lower(ms[k]))),
+extra AS (SELECT doc_id, 'term' AS kind, {len(_KINDS)} AS rank, s, s + length(w) AS e FROM found WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = found.doc_id AND found.s < b.e AND b.s < found.s + length(w))),
 per AS (SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone, {_LIST} AS spans FROM base GROUP BY 1),
-every AS (SELECT doc_id, {_LIST} AS spans FROM (SELECT doc_id, kind, rank, s, e FROM base UNION ALL SELECT * FROM extra) GROUP BY 1)
-SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(per.spans, '')) AS base_sha256, coalesce(every.spans, '') AS spans
+label AS (SELECT ent.doc_id, ent.kind, ent.s, '[' || upper(kind) || CASE WHEN n > x.n_entity AND round(log2(n / w.n_entity) / log2(n / x.n_entity), 9) < {pii.THRESHOLD} THEN ' ' || wide ELSE '' END || ']' AS label
+  FROM ent JOIN ents x ON x.entity = exact JOIN ents w ON w.entity = 'in ' || kind || ':' || wide, (SELECT count(*) AS n FROM d)),
+spans AS (SELECT doc_id, kind, rank, s, e, label FROM base JOIN label USING (doc_id, kind, s) UNION ALL SELECT doc_id, kind, rank, s, e, '[TERM]' FROM extra),
+every AS (SELECT doc_id, {_LIST} AS spans, string_agg(CASE WHEN s < done THEN '' ELSE substr(text, done + 1, s - done) || label END, '' ORDER BY s, rank, e) || substr(any_value(text), max(e) + 1) AS clean
+  FROM (SELECT *, coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY s, rank, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM spans JOIN d USING (doc_id)) GROUP BY 1)
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(per.spans, '')) AS base_sha256, coalesce(every.spans, '') AS spans, sha256(coalesce(clean, text)) AS clean_sha256
 FROM d LEFT JOIN per USING (doc_id) LEFT JOIN every USING (doc_id)
 """
 

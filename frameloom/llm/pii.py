@@ -3,17 +3,21 @@ r"""Personal data, in DataFrame functions only: fixed kinds by pattern, and term
 Base kinds (email, ip, card, phone) are found in whole texts as leftmost matches without overlap;
 matches that fail their check go. Spans are in code points, the end exclusive.
 
-Information-theoretic sanitisation: a found value is a protected entity e, and a term t is a word of
-three or more letters within ``reach`` words (and REACH_CHARS characters) before or behind it. With df
-the number of documents that hold something, t discloses the share
-PMI(t; e) / IC(e) = log2(N df(t, e) / (df(t) df(e))) / log2(N / df(e)) of e's information: 1 if t
-stands with e only, 0 if they are independent. Terms that stand with e in ``support`` distinct texts
-(a copy of a text tells nothing new), at or above the threshold, are spans of kind ``term`` wherever
-they stand in reach of e, and sanitised() writes [TERM] for them; the base kinds become [EMAIL] and so on.
+Information-theoretic sanitisation: a found value stands for protected entities, itself and the wider ones it
+belongs to: an email's user (the letters of its local part) and domain, an ip's network (two parts), a card's
+issuer (six digits), a phone's area (four digits). With df the number of documents that hold something, a word t
+(three or more letters) discloses of an entity e, in whose documents it stands, the share
+PMI(t; e) / IC(e) = log2(N df(t, e) / (df(t) df(e))) / log2(N / df(e)) of e's information: 1 if t stands with e
+only, 0 if they are independent. Small counts are smoothed: with k different texts that hold both, the share counts
+k / (k + 1) of itself. Words at or above the threshold are spans of kind ``term`` wherever they stand in e's documents.
 
-Every count covers all documents; words are summed in each task before they are shuffled.
+sanitised() writes [TERM] for terms; a base value becomes its kind with the wider entity (as in [EMAIL org.net]) if
+that discloses less than the threshold of the value's information, IC(wider) / IC(value), and its kind alone if not.
 
-Edge cases: null and empty texts give no spans; repeated rows each give a row and count as one text for support;
+Every count covers all documents. Since a share is at most 1, pairs with too few texts, and entities of one text, are
+dropped before any join without loss; words are counted for the pairs' terms only.
+
+Edge cases: null and empty texts give no spans; repeated rows each give a row and count as one text for k;
 equal spans are one; an empty table gives an empty result; extra columns are not read.
 """
 
@@ -32,7 +36,9 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = [*PATTERNS, "term"]
-REACH, REACH_CHARS, THRESHOLD, SUPPORT = 4, 200, 0.8, 2
+THRESHOLD = 0.6
+#: Hash buckets of terms that are broadcast (so many rows at most), to count no others.
+BUCKETS = 1 << 20
 TERM = r"\p{L}{3,}"
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 
@@ -102,55 +108,94 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return own.withColumn("base", F.array_sort(F.concat(*[F.when(needs[k], of(k)).otherwise(none) for k in PATTERNS])))
 
 
-def nearby(found: DataFrame, reach: int = REACH) -> DataFrame:
-    """row, text_key, entity, and each term within reach words (and REACH_CHARS characters) of it with its span."""
-
-    def sides(b: Column) -> Column:
-        start = F.greatest(b["start"] - REACH_CHARS, F.lit(0))
-        # A word counts if what lies behind it is seen: another character, or the text's end.
-        before = F.concat(F.reverse(F.substr("text", start + 1, b["start"] - start)), F.when(start == 0, F.lit(" ")).otherwise(F.lit("")))
-        after = F.concat(F.substr("text", b["end"] + 1, F.lit(REACH_CHARS)), F.when(b["end"] + REACH_CHARS >= F.length("text"), F.lit(" ")).otherwise(F.lit("")))
-        return F.struct(b["value"].alias("entity"), b["start"].alias("from"), b["end"].alias("to"), before.alias("before"), after.alias("after"))
-
-    words = rf"^(?:[^\p{{L}}]*+\p{{L}}++(?!\z)){{0,{reach}}}+"
-    near = found.select("row", "text_key", F.explode(F.transform("base", sides)).alias("s")).select("row", "text_key", "s.*")
-    near = near.withColumns({"before": F.reverse(F.regexp_extract("before", words, 0)), "after": F.regexp_extract("after", words, 0)})
-    parts = F.array(F.struct((F.col("from") - F.length("before")).alias("at"), F.col("before").alias("part")), F.struct(F.col("to").alias("at"), F.col("after").alias("part")))
-    near = near.select("row", "text_key", "entity", F.explode(parts).alias("s"))
-    terms = near.select("row", "text_key", "entity", "s.at", F.explode(matches(F.col("s.part"), TERM)).alias("m"))
-    return terms.select("row", "text_key", "entity", F.lower("m.value").alias("term"), (F.col("at") + F.col("m.start")).alias("start"), (F.col("at") + F.col("m.end")).alias("end"))
-
-
-def disclosures(texts: DataFrame, near: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
-    """term and entity of every pair at or above the threshold. texts: all documents' texts; near: of nearby()."""
-    joint = near.select("entity", "term", "text_key", "row").distinct()
-    pairs = joint.groupBy("entity", "term", "text_key").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("n_texts"))
-    pairs = pairs.filter(F.col("n_texts") >= support)
-    entities = near.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    # Summed in each task before the shuffle, so that it carries a task's distinct words once.
-    spread = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_terms = spread.groupBy("term").agg(F.count("*").alias("n_term"))
-    n = texts.agg(F.count("*").alias("n"))
-    scored = pairs.join(entities, "entity").join(n_terms, "term").crossJoin(F.broadcast(n))  # n: one row
-    share = F.log2(F.col("n") * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / F.log2(F.col("n") / F.col("n_entity"))
-    return scored.filter((F.col("n") > F.col("n_entity")) & (F.round(share, 9) >= threshold)).select("entity", "term")
-
-
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, reach: int = REACH, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
-    """doc_id, base (base spans), spans (those and disclosing terms) and text (null for texts without spans
-    unless with_text) of every row."""
+def wider(kind: Column, value: Column) -> Column:
+    """The wider entity that a value of a kind belongs to, as it is written: domain, network, issuer or area."""
+    parts = F.split(value, r"\.")
+    return (
+        F.when(kind == "email", F.lower(F.split_part(value, F.lit("@"), F.lit(2))))
+        .when(kind == "ip", F.concat_ws(".", F.get(parts, F.lit(0)), F.get(parts, F.lit(1))))
+        .when(kind == "card", F.substr(digits(value), F.lit(1), F.lit(6)))
+        .otherwise(F.substr(digits(value), F.lit(1), F.lit(4)))
+    )
+
+
+def exact(kind: Column, value: Column) -> Column:
+    return F.concat(kind, F.lit(":"), F.when(kind.isin("card", "phone"), digits(value)).otherwise(F.lower(value)))
+
+
+def in_wider(kind: Column, value: Column) -> Column:
+    return F.concat(F.lit("in "), kind, F.lit(":"), wider(kind, value))
+
+
+def entities(base: Column) -> Column:
+    """All entities that the base spans stand for, each once."""
+
+    def of(s: Column) -> Column:
+        user = F.regexp_replace(F.lower(F.split_part(s["value"], F.lit("@"), F.lit(1))), "[^a-z]", "")
+        user = F.when((s["kind"] == "email") & (F.length(user) >= 3), F.concat(F.lit("user:"), user))
+        return F.array(exact(s["kind"], s["value"]), in_wider(s["kind"], s["value"]), user)
+
+    return F.array_distinct(F.array_compact(F.flatten(F.transform(base, of))))
+
+
+def words(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def disclosures(texts: DataFrame, pairs: DataFrame, n: int, threshold: float = THRESHOLD) -> DataFrame:
+    """term and entity of every pair at or above the threshold. texts: all n documents' texts; pairs: row, text_key,
+    entity, n_entity (documents that hold it) and term of what stands in one document."""
+    each = pairs.groupBy("entity", "term", "text_key").agg(F.count("*").alias("n"), F.first("n_entity").alias("n_entity"))
+    both = each.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("k"), F.first("n_entity").alias("n_entity"))
+    smoothed = F.col("k") / (F.col("k") + 1)
+    both = written(both.filter(smoothed >= threshold), "pairs")
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
+    some = F.broadcast(both.select(bucket("term").alias("bucket")).distinct())  # at most BUCKETS rows
+    spread = texts.select(F.explode(words(F.col("text"))).alias("term")).join(some, bucket("term") == F.col("bucket"), "left_semi")
+    scored = both.join(spread.groupBy("term").agg(F.count("*").alias("n_term")), "term")
+    share = F.log2(F.lit(n) * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / F.log2(F.lit(n) / F.col("n_entity")) * smoothed
+    return scored.filter((F.lit(n) > F.col("n_entity")) & (F.round(share, 9) >= threshold)).select("entity", "term")
+
+
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, base (base spans), spans (those and disclosing terms), labels (what sanitised() writes for each span),
+    text (null for texts without spans unless with_text) and text_sha256 of every row."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     text = F.col("text") if with_text else F.when(F.size("base") > 0, F.col("text"))
-    based = written(base_spans(own).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_key"), text.alias("text"), "base"), "personal")
+    based = base_spans(own).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_key"), F.sha2("text", 256).alias("text_sha256"), text.alias("text"), "base")
+    based = written(based, "personal")
+    n = based.count()
     found, rest = based.filter(F.size("base") > 0), based.filter(F.size("base") == 0)
-    near = written(nearby(found, reach), "near")
-    told = disclosures(own, near, threshold, support)
-    extra = near.join(told, ["entity", "term"], "left_semi").groupBy("row").agg(
-        F.collect_set(F.struct(F.col("start"), F.lit(KINDS.index("term")).alias("rank"), F.col("end"), F.lit("term").alias("kind"), F.col("term").alias("value"))).alias("extra"))
+    each = found.select("row", "text_key", F.explode(entities(F.col("base"))).alias("entity"))
+    sizes = each.groupBy("entity").agg(F.count("*").alias("n_entity"), (F.min("text_key") < F.max("text_key")).alias("again"))
+    known = written(each.join(sizes, "entity"), "entities")
+    again = known.filter("again").select("row", "entity", "n_entity")
+    pairs = again.join(found.select("row", "text_key", words(F.col("text")).alias("words")), "row").select("row", "text_key", "entity", "n_entity", F.explode("words").alias("term"))
+    told = written(disclosures(own, pairs, n, threshold), "told")
+    terms = again.join(told, "entity").groupBy("row").agg(F.collect_set("term").alias("terms"))
+    counts = known.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("entity", "n_entity"))).alias("counts"))
+    full = found.join(counts, "row").join(terms, "row", "left")
+    extra = F.filter(matches(F.col("text"), TERM), lambda m: F.array_contains("terms", F.lower(m["value"])))
+    extra = F.transform(extra, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index("term")).alias("rank"), m["end"].alias("end"), F.lit("term").alias("kind"), m["value"].alias("value")))
+    full = full.withColumn("extra", F.when(F.col("terms").isNull(), F.array().cast(SPANS)).otherwise(extra))
     # A term inside a base span is covered by it already.
-    free = F.filter(F.coalesce("extra", F.array().cast(SPANS)), lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
-    full = found.join(extra, "row", "left").select("doc_id", "base", F.array_sort(F.concat("base", free)).alias("spans"), "text")
-    return full.unionByName(rest.select("doc_id", "base", F.col("base").alias("spans"), "text"))
+    free = F.filter("extra", lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
+    full = full.withColumn("spans", F.array_sort(F.concat("base", free)))
+    return full.select("doc_id", "base", "spans", labels(n, threshold).alias("labels"), "text", "text_sha256").unionByName(
+        rest.select("doc_id", "base", F.col("base").alias("spans"), F.array().cast("array<string>").alias("labels"), "text", "text_sha256")
+    )
+
+
+def labels(n: int, threshold: float) -> Column:
+    """For each of spans its label, by counts (documents of each of the row's entities)."""
+
+    def of(s: Column) -> Column:
+        ic = lambda e: F.log2(F.lit(n) / F.try_element_at("counts", e))
+        share = F.when(ic(exact(s["kind"], s["value"])) > 0, ic(in_wider(s["kind"], s["value"])) / ic(exact(s["kind"], s["value"])))
+        small = (s["kind"] != "term") & (F.round(share, 9) < threshold)
+        return F.concat(F.lit("["), F.upper(s["kind"]), F.when(small, F.concat(F.lit(" "), wider(s["kind"], s["value"]))).otherwise(F.lit("")), F.lit("]"))
+
+    return F.transform("spans", of)
 
 
 def listed(spans: Column) -> Column:
@@ -162,13 +207,13 @@ def count_of(spans: Column, kind: str) -> Column:
 
 
 def sanitised(found: DataFrame) -> DataFrame:
-    """found with clean_text: base values and disclosing terms generalised to their kind."""
+    """found with clean_text: base values and disclosing terms replaced by their labels."""
     ends = F.transform("spans", lambda s, i: F.array_max(F.transform(F.slice("spans", F.lit(1), i + 1), lambda x: x["end"])))
     parts = F.transform(
         "spans",
         lambda s, i: let(
             F.when(i > 0, F.get(ends, i - 1)).otherwise(0),
-            lambda done: F.when(s["start"] < done, F.lit("")).otherwise(F.concat(F.substr("text", done + 1, s["start"] - done), F.lit("["), F.upper(s["kind"]), F.lit("]"))),
+            lambda done: F.when(s["start"] < done, F.lit("")).otherwise(F.concat(F.substr("text", done + 1, s["start"] - done), F.get("labels", i))),
         ),
     )
     tail = F.substr("text", F.coalesce(F.array_max(ends), F.lit(0)) + 1)

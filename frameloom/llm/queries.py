@@ -52,9 +52,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.personal_data(table(spark, sf_dir, "documents"), with_text=False)
+    found = pii.sanitised(pii.personal_data(table(spark, sf_dir, "documents"), with_text=False))
+    clean = F.when(F.size("spans") > 0, F.sha2("clean_text", 256)).otherwise(F.col("text_sha256"))
     counts = [pii.count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.PATTERNS]
-    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"), clean.alias("clean_sha256"))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
