@@ -7,26 +7,29 @@ all windows by backward search, locates their occurrences by sampled suffix posi
 words are merged into removal spans.
 
 The benchmark reaches executors in blocks of bounded size; each block is one pass over the documents,
-without a shuffle, and passes add to the same spans.
+without a shuffle, and passes add to the same spans. One block is held at a time: what a pass found is written
+before the next block is read.
 
 Edge cases: null, empty and blank texts and items have no words; repeated rows are each searched;
-items of equal text are all reported; a null item_id is no item; an empty table on either side gives
-no hits; columns of the documents named like a result give way to it; text length is not bounded.
+items of equal text are all reported; the windows of an item without an id are hit, but there is no id to report; an
+empty table on either side gives no hits; contamination() renames columns of the documents named like a result to
+end with _own, and cleaned() returns all columns as they are; text length is not bounded.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frameloom.llm.common import small_batches, text_groups
+from frameloom.llm.common import small_batches, text_groups, written
 from frameloom.llm.fm_index import FmIndex
 
 WINDOW = 10
@@ -51,13 +54,15 @@ def words_of(text: str | None) -> list[bytes]:
 class Block:
     """Windows of some benchmark items, as symbols of their words."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
         self.ids: dict[bytes, int] = {}
         found: dict[tuple[int, ...], set[str]] = {}
         for item, text in items:
             own = [self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text)]
             for at in range(max(1, len(own) - window + 1) if own else 0):
-                found.setdefault(tuple(own[at : at + window]), set()).add(item)
+                of = found.setdefault(tuple(own[at : at + window]), set())
+                if item is not None:
+                    of.add(item)
         self.items = [sorted(x) for x in found.values()]
         self.lengths = np.array([len(w) for w in found], np.int64)
         self.patterns = np.zeros((len(found), window), np.int64)
@@ -132,17 +137,16 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[end:]])
 
 
-def blocks(bench: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS, id_col: str = "item_id", text_col: str = "text") -> Iterator[Block]:
-    own = bench.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).filter("item IS NOT NULL AND text IS NOT NULL")
+def blocks(bench: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS, id_col: str = "item_id", text_col: str = "text") -> list[Callable[[], Block]]:
+    """What makes each block when it is wanted."""
+    own = bench.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).filter("text IS NOT NULL").distinct()
     chars = own.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     n = -(-chars // block_chars)
-    for i in range(n):
-        yield Block([tuple(r) for r in own.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i).collect()], window)
+    return [lambda i=i: Block([tuple(r) for r in own.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i).collect()], window) for i in range(n)]
 
 
-def _pass(block: Block, text_col: str, text: str, spark):
+def _pass(shared: Broadcast, text_col: str, text: str):
     """text: what becomes of the texts: keep, drop, or clean."""
-    shared = spark.sparkContext.broadcast(block)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[pa.RecordBatch, list, list[list[bytes]]]] = []
@@ -183,19 +187,23 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block
     """docs (with their texts, without if text is "drop", with the texts' spans taken out if it is "clean") with n_words, hit_words (spans start <= word < end) and
     items (ids of items with windows in the text)."""
     names = {f.name.lower() for f in RESULTS}
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names])
+    docs = docs.withColumnsRenamed({c: f"{c}_own" for c in docs.columns if c.lower() in names})
     n_words = F.when(F.length(F.col(text_col)) > 0, F.regexp_count(F.col(text_col), F.lit(WORD.pattern))).otherwise(0).cast("long")
-    found = list(blocks(bench, window, block_chars))
+    found = blocks(bench, window, block_chars)
     if not found:
         docs = docs.withColumn("__n", n_words)
         docs = docs.drop(text_col) if text == "drop" else docs
         return docs.withColumnRenamed("__n", "n_words").select("*", F.array().cast(SPANS).alias("hit_words"), F.array().cast("array<string>").alias("items"))
     out = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("hit_words"), F.array().cast("array<string>").alias("items"))
     schema = T.StructType([*docs.schema.fields, *RESULTS])
-    for i, block in enumerate(found):
+    for i, make in enumerate(found):
         now = text if i + 1 == len(found) else "keep"
         own = T.StructType([f for f in schema.fields if not (now == "drop" and f.name == text_col)])
-        out = small_batches(out).mapInArrow(_pass(block, text_col, now, docs.sparkSession), own)
+        shared = docs.sparkSession.sparkContext.broadcast(make())
+        out = small_batches(out).mapInArrow(_pass(shared, text_col, now), own)
+        if i + 1 < len(found):
+            out = written(out, "searched")
+            shared.destroy()
     return out
 
 
@@ -206,5 +214,6 @@ def n_hit() -> Column:
 def cleaned(docs: DataFrame, bench: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
     """docs without the benchmark's passages: the removal spans leave the texts; a document of which no
     word is left goes."""
-    found = contamination(docs, bench, window, text_col=text_col, text="clean")
-    return found.filter((F.size("hit_words") == 0) | (n_hit() < F.col("n_words"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = {c: f"__{i}" for i, c in enumerate(docs.columns)}
+    found = contamination(docs.toDF(*names.values()), bench, window, text_col=names[text_col], text="clean")
+    return found.filter((F.size("hit_words") == 0) | (n_hit() < F.col("n_words"))).select(*[F.col(x).alias(c) for c, x in names.items()])

@@ -9,7 +9,7 @@ all are certified, one partition is left, or a pass over all saves hardly a bin
 partition took that closed its bin, and the bound: equal numbers are a certificate.
 
 Edge cases: a null or empty text is the end id alone; documents of equal id are packed each by
-itself, in any order; ties of length go by id, piece and checksum; an empty table gives an empty
+itself, in any order (ids are whole numbers; others are cast, or null); ties of length go by id, piece and checksum; an empty table gives an empty
 result; extra columns are not read; the length of a text is not bounded.
 """
 
@@ -54,7 +54,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_id
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    return small_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(rows, PIECES)
+    return small_batches(docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(rows, PIECES)
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:

@@ -5,13 +5,14 @@ Each whole text gets a 64-bit fingerprint. Equal fingerprints are one class at o
 in at most ``radius`` bits, blocks - radius blocks agree, so every choice of so many blocks is a join
 key, and no link is lost. Within a key's members the Hamming distance is verified and only the edges
 of a spanning forest are handed on: a member that is reached is not compared again, so a group of
-near copies costs far less than its pairs. Components are found by alternating large-star and
-small-star steps over written tables.
+near copies costs far less than its pairs. A key of more than ``LARGE`` members is dealt anew: what it leaves open
+is split into radius + 1 parts, of which two near members share one, so that each becomes a longer key, up to ``SPLITS`` times; what is large still is searched whole. Components are found by alternating large-star and small-star steps over written
+tables, until a step changes nothing.
 
 Edge cases: null, empty and blank texts have no words and fingerprint zero, which links like any
-other; fewer words than a shingle are one shingle; repeated rows fall into one class; a null id never
-becomes a component's id unless it has no other; an empty table gives an empty result; extra columns
-are not read.
+other; fewer words than a shingle are one shingle; repeated rows fall into one class; ids are whole numbers (others
+are cast, and null where that fails); a null id never becomes a component's id unless it has no other; an empty
+table gives an empty result; extra columns are not read, and one_of_each() returns them as they are.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import small_batches, text_groups, written
+from frameloom.llm.common import small_batches, text_groups, unused, written
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 WORDS = re.compile("[^\x20\x09-\x0d]+")
@@ -36,6 +37,8 @@ LOWER = {c: c + 32 for c in range(65, 91)}
 DENSE = 24
 #: Mean members wanted for a key; more classes get more blocks and so longer keys.
 MEMBERS = 2.0
+#: Members of a key that one task searches, and how often larger ones are split (each time into radius + 1 keys a member).
+LARGE, SPLITS = 20_000, 2
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -60,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             own = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
             yield pa.record_batch([part.column(0), part.column(1), pa.array(own)], names=["doc_id", "text_hash", "fp"])
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    own = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     return small_batches(own).mapInArrow(rows, "doc_id long, text_hash long, fp long")
 
 
@@ -113,12 +116,47 @@ def key_edges(keys: np.ndarray, fps: np.ndarray, radius: int) -> list[np.ndarray
     return out
 
 
-def links(classes: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
+def parts_of(mask: int, n: int) -> list[int]:
+    """The bits that a mask leaves open, in n parts of equal size."""
+    bits = [1 << i for i in range(64) if not mask >> i & 1]
+    return [sum(bits[len(bits) * i // n : len(bits) * (i + 1) // n]) for i in range(n)]
+
+
+def signed(mask: int) -> int:
+    return int(np.uint64(mask).view(np.int64))
+
+
+def small_keys(classes: DataFrame, masks: list[int], radius: int, large: int = LARGE) -> DataFrame:
+    """key and fp of all classes, under every mask; keys of more than ``large`` members are split."""
+    spark = classes.sparkSession
+    with_key = lambda df: df.select(F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "mask", "fp")
+    keyed = with_key(classes.select("fp", F.explode(F.array(*[F.lit(signed(m)) for m in masks])).alias("mask")))
+    out = []
+    for split in range(SPLITS + 1):
+        heavy_masks = []
+        if split < SPLITS:
+            heavy = written(keyed.groupBy("key", "mask").agg(F.count("*").alias("n")).filter(F.col("n") > large).select("key", "mask"), "heavy")
+            # One row for a mask at most. Under a mask that leaves no more bits open than may differ, all members link.
+            heavy_masks = [m for r in heavy.select("mask").distinct().collect() if (m := r.mask & (1 << 64) - 1).bit_count() < 64 - radius]
+        if not heavy_masks:
+            out.append(keyed)
+            break
+        heavy = heavy.filter(F.col("mask").isin([signed(m) for m in heavy_masks])).select("key")
+        out.append(keyed.join(heavy, "key", "left_anti"))
+        again = written(keyed.join(heavy, "key", "left_semi").select("mask", "fp"), "split")
+        longer = [(m, m | p) for m in heavy_masks for p in parts_of(m, radius + 1)]
+        table = spark.createDataFrame([(signed(m), signed(x)) for m, x in longer], "mask long, longer long")  # radius + 1 rows for a mask
+        keyed = with_key(again.join(F.broadcast(table), "mask").select("fp", F.col("longer").alias("mask")))
+    found = out[0].select("key", "fp")
+    for x in out[1:]:
+        found = found.union(x.select("key", "fp"))
+    return found
+
+
+def links(classes: DataFrame, radius: int = RADIUS, blocks: int | None = None, large: int = LARGE) -> DataFrame:
     """Edges a < b over distinct fingerprints fp whose components are those of all links."""
     blocks = blocks or block_count(classes.count(), radius)
-    masks = block_masks(blocks, radius)
-    signed = [int(np.uint64(m).view(np.int64)) for m in masks]
-    keyed = classes.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])).alias("key"))
+    keyed = small_keys(classes, block_masks(blocks, radius), radius, large)
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -146,11 +184,11 @@ def links(classes: DataFrame, radius: int = RADIUS, blocks: int | None = None) -
     return keyed.select("key", "fp").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(edges, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node and root (the component's smallest node) of every node in edges (a, b), by alternating stars."""
     star = written(edges, "edges")
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = star.select("a", "b").union(star.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -181,10 +219,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = near_duplicates(docs, id_col, text_col, shingle, radius)
     rows = found.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "n")).alias("r"))
-    first = written(first.select(F.col("r.doc_id").alias("__id"), F.col("r.text_hash").alias("__hash"), (F.col("r.n") > 1).alias("__again")), "first")
-    kept = docs.join(first, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash")))
-    again = kept.filter("__again").dropDuplicates(["__id", "__hash"])
-    return kept.filter("NOT __again").unionByName(again).select(*[F.col(f"`{c}`") for c in docs.columns])
+    id_, hash_, again = (unused(docs, x) for x in ("id", "hash", "again"))
+    first = written(first.select(F.col("r.doc_id").alias(id_), F.col("r.text_hash").alias(hash_), (F.col("r.n") > 1).alias(again)), "first")
+    kept = docs.join(first, F.col(f"`{id_col}`").try_cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(hash_)))
+    twice = kept.filter(again).dropDuplicates([id_, hash_])
+    return kept.filter(~F.col(again)).unionByName(twice).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def hex_digits(fp: Column) -> Column:

@@ -7,7 +7,7 @@ read, by encoding every vocabulary string alone with the library. Pre-tokens amo
 count 1 without a merge; the rest are merged by the library, once for each distinct one while it is
 remembered.
 
-Edge cases: null and empty texts have 0 tokens and 0 bytes; a null id is kept; repeated rows are each
+Edge cases: null and empty texts have 0 tokens and 0 bytes; a null id is kept, and ids that are no whole numbers are cast to them or null; repeated rows are each
 counted; an empty table gives an empty result; extra columns are not read; text length is not bounded.
 """
 
@@ -134,4 +134,4 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             n = [of.count(t) if t else 0 for t in texts]
             yield pa.record_batch([part.column(0), pa.compute.binary_length(part.column(1)).fill_null(0).cast(pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
-    return small_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(rows, SCHEMA)
+    return small_batches(docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(rows, SCHEMA)

@@ -12,15 +12,14 @@ def plain(docs, bench, window=10):
     windows = {}
     for item, text in bench:
         own = decontam.words_of(text)
-        if item is not None:
-            for k in range(max(1, len(own) - window + 1) if own else 0):
-                windows.setdefault(tuple(own[k : k + window]), set()).add(str(item))
+        for k in range(max(1, len(own) - window + 1) if own else 0):
+            windows.setdefault(tuple(own[k : k + window]), set()).update([] if item is None else [str(item)])
     out = []
     for doc, text in docs:
         own, hit, items = decontam.words_of(text), set(), set()
         for n in {len(w) for w in windows}:
             for k in range(len(own) - n + 1):
-                if found := windows.get(tuple(own[k : k + n])):
+                if (found := windows.get(tuple(own[k : k + n]))) is not None:
                     hit.update(range(k, k + n))
                     items |= found
         out.append((doc, len(own), len(hit), sorted(items)))
@@ -31,7 +30,7 @@ def plain(docs, bench, window=10):
 def test_equals_plain_search(spark, block_chars):
     rng = random.Random(block_chars)
     bench = [(i, " ".join(f"w{rng.randrange(30)}" for _ in range(rng.choice([0, 1, 3, 9, 10, 11, 40])))) for i in range(30)]
-    bench += [(30, bench[5][1]), (None, "w1 w2"), (31, None), (32, "É-ab_C9")]
+    bench += [(30, bench[5][1]), (None, "w1 w2"), (None, bench[7][1]), (31, None), (32, "É-ab_C9")]
     docs = []
     for i in range(80):
         words = [f"W{rng.randrange(60)}" for _ in range(rng.choice([0, 5, 60]))]
@@ -65,5 +64,10 @@ def test_cleaning(spark, odd, none):
     docs = spark.createDataFrame([(1, f"Before. {item.upper()}! After it."), (2, item), (3, None), (4, "clean")], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in decontam.cleaned(docs, bench).collect()) == [(1, "Before. ! After it."), (3, None), (4, "clean")]
     assert decontam.cleaned(odd, bench).count() == odd.count()
+    clashing = docs.withColumns({"items": F.lit("mine"), "N_words": F.lit(5), "hit_words": F.lit(1.5), "n_words_own": F.lit("a"), "__0": F.lit(7)})
+    rows = decontam.cleaned(clashing, bench)
+    assert rows.columns == clashing.columns and {tuple(r)[2:] for r in rows.collect()} == {("mine", 5, 1.5, "a", 7)}
+    kept = decontam.contamination(docs.withColumn("items", F.lit("mine")), bench)
+    assert kept.columns == ["doc_id", "text", "items_own", "n_words", "hit_words", "items"] and kept.filter("items_own = 'mine'").count() == 4
     assert decontam.contamination(none, bench).count() == 0
     assert decontam.contamination(odd, bench.limit(0)).agg(F.sum(decontam.n_hit())).first()[0] == 0

@@ -63,8 +63,31 @@ def test_components_equal_all_pairs(spark, blocks, monkeypatch):
     assert got == plain_components(rows)
 
 
+@pytest.mark.parametrize("large", [9, 60])
+def test_large_keys_are_split_without_loss(spark, large):
+    rng = random.Random(large)
+    start = rng.getrandbits(40) << 24  # all agree on five of eight bytes
+    fps = {start ^ sum({1 << rng.randrange(24) for _ in range(12)}) for _ in range(150)} | {start ^ sum({1 << rng.randrange(64) for _ in range(3)}) for _ in range(60)}
+    rows = list(enumerate(sorted(fps)))
+    classes = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for _, f in rows], "fp long").withColumn("x", F.lit(0)).select("fp")
+    edges = [(r.a, r.b) for r in simhash.links(classes, 4, 8, large).collect()]
+    number = {int(np.uint64(f).view(np.int64)): i for i, f in rows}
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        assert ((a ^ b) & (1 << 64) - 1).bit_count() <= 4
+        x, y = sorted((find(number[a]), find(number[b])))
+        root[y] = x
+    assert [(i, find(i)) for i, _ in rows] == plain_components(rows)
+
+
 def test_one_of_each(spark, odd):
-    kept = sorted(((r.doc_id, r.text) for r in simhash.one_of_each(odd.withColumn("root", F.lit("x"))).collect()), key=str)
+    kept = sorted(((r.doc_id, r.text) for r in simhash.one_of_each(odd.withColumns({"root": F.lit("x"), "__id": F.lit(1), "__HASH": F.lit(2), "__again": F.lit(True)})).collect()), key=str)
     rows = plain_components([(r.doc_id if r.doc_id is not None else 99, plain_fingerprint(r.text)) for r in odd.collect()])
     assert [d for d, _ in kept if d is not None] == sorted({c for _, c in rows} - {99}) and len(kept) == len({c for _, c in rows})
 
