@@ -25,21 +25,29 @@ whole, at any length.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache, lru_cache
+from itertools import count
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import let, small_batches, unused, written
+from frameloom.llm.common import small_batches, text_groups, unused, written
 
 #: Words of a line for each edit allowed, and the most edits.
 EDIT_WORDS, MOST_EDITS = 8, 3
 #: Ratio of the buckets of line lengths; each is as wide as the edits allowed there.
 STEP = 1.25
 BLANK = " \t\x0b\x0c\r"
+#: A letter or digit.
+SIGN = re.compile(r"[^\W_]")
+#: Seed of a line's second hash: the hash of the number 7, as when the columns 7 and line are hashed together.
+SEED2 = xxhash.xxh64_intdigest((7).to_bytes(4, "little"), 42)
 #: Hash buckets of shared keys that are broadcast (so many rows at most), to drop other lines before the exact join.
 BUCKETS = 1 << 20
 #: Different lines of one variant that are compared without dealing them anew, and how often they are dealt.
@@ -47,16 +55,18 @@ HOT, LEVELS = 400, 3
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_key (a hash of the row's text), line_no, line, and h1 and h2 that tell lines apart, of lines that can go."""
+    """doc_id, text_key (a hash of the row's text), line_no, line, and h1 and h2 that tell lines apart, of lines that are not blank."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "raw"))
-    own = own.select("doc_id", "text_key", "line_no", F.btrim("raw", F.lit(BLANK)).alias("line")).filter(F.col("line").rlike(r"[\p{L}\p{N}]"))
+    own = own.select("doc_id", "text_key", "line_no", F.btrim("raw", F.lit(BLANK)).alias("line")).filter("line <> ''")
     return own.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
 
 
 def words_of(line: str) -> list[str]:
     for c in BLANK[1:]:
-        line = line.replace(c, " ")
-    return [w for w in line.split(" ") if w]
+        if c in line:
+            line = line.replace(c, " ")
+    words = line.split(" ")
+    return [w for w in words if w] if "" in words else words
 
 
 def bound(n: int, edits: int = MOST_EDITS) -> int:
@@ -70,42 +80,63 @@ def shifts(t: int) -> list[int]:
     return [*range(s), *range(s, s * math.ceil(t / s) + 1, s)]
 
 
-def variants(line: Column, edits: int) -> Column:
-    """Hashes of the line's coarse variants; an empty array for a line that must be equal to go."""
-
-    def of_bucket(words: Column, b: Column) -> Column:
-        first, after = (F.ceil(EDIT_WORDS * F.pow(F.lit(STEP), x) - 1e-6).cast("int") for x in (b, b + 1))
-        k = F.least(F.floor((after - 1) / EDIT_WORDS).cast("int"), F.lit(edits))
-        n = F.size(words)
-
-        def keys(k: int) -> Column:
-            q = F.floor(first / (k + 1)).cast("int")
-            out = []
-            for i in range(k + 1):
-                front = 2 * i <= k
-                own = shifts(i if front else k - i)
-                for a in own:
-                    start = i * q + a if front else n - (k + 1 - i) * q + a
-                    out.append(F.xxhash64(b, F.lit(i), F.slice(words, start + 1, q - own[-1])))
-            return F.array(*out)
-
-        found = F.when(k == 1, keys(1))
-        for j in range(2, edits + 1):
-            found = found.when(k == j, keys(j))
-        return found
-
-    def of_words(words: Column) -> Column:
-        n = F.size(words)
-        bucket = lambda x: F.floor(F.log(x / EDIT_WORDS) / math.log(STEP) + 1e-9).cast("int")
-        # A near line that is shorter, by the edits allowed at most, may be in the bucket before.
-        low = F.greatest(n - F.least(F.floor(n / EDIT_WORDS).cast("int"), F.lit(edits)), F.lit(EDIT_WORDS))
-        both = F.array_distinct(F.array(bucket(n), bucket(low)))
-        return F.array_distinct(F.flatten(F.transform(both, lambda b: of_bucket(words, b))))
-
-    none = F.array().cast("array<bigint>")
-    enough = F.length(line) >= 2 * EDIT_WORDS - 1
-    split = F.when(enough, F.split(line, f"[{BLANK}]+")).otherwise(F.array().cast("array<string>"))
-    return let(split, lambda w: F.when(F.size(w) >= EDIT_WORDS, of_words(w)).otherwise(none))
+@cache
+def bucket(n: int) -> tuple[int, int, int]:
+    """The bucket of lines of n words: its number, the least words of its lines, and the most."""
+    b = next(b for b in count() if n < math.ceil(EDIT_WORDS * STEP ** (b + 1) - 1e-6))
+    return b, math.ceil(EDIT_WORDS * STEP**b - 1e-6), math.ceil(EDIT_WORDS * STEP ** (b + 1) - 1e-6) - 1
+
+
+@lru_cache(4096)
+def pieces(n: int, edits: int) -> list[tuple[int, int, int]]:
+    """Seed, start and end of what is left in each coarse variant of a line of n words."""
+    out = []
+    # A near line that is shorter, by the edits allowed at most, may be in the bucket before.
+    for b, first, last in sorted({bucket(n), bucket(max(n - bound(n, edits), EDIT_WORDS))}):
+        k = bound(last, edits)
+        q = first // (k + 1)
+        for i in range(k + 1):
+            front = 2 * i <= k
+            own = shifts(i if front else k - i)
+            for a in own:
+                start = i * q + a if front else n - (k + 1 - i) * q + a
+                out.append((b << 8 | i, start, start + q - own[-1]))
+    return out
+
+
+def variants(words: list[str], edits: int) -> set[int]:
+    """Hashes of a line's coarse variants; none for a line that must be equal to go."""
+    n = len(words)
+    if bound(n, edits) < 1:
+        return set()
+    return {xxhash.xxh64_intdigest(" ".join(words[a:b]), seed) for seed, a, b in pieces(n, edits)}
+
+
+def keyed_lines(docs: DataFrame, id_col: str, text_col: str, edits: int) -> DataFrame:
+    """doc_id, text_key, line_no, h1, h2 as in lines_of(), and keys (hashes of variants), of every line that can go."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_groups(batches):
+            row, no, h1, h2, keys, ends = [], [], [], [], [], [0]
+            for i, text in enumerate(texts):
+                for j, line in enumerate(text.split("\n")):
+                    line = line.strip(BLANK)
+                    if not SIGN.search(line):
+                        continue
+                    raw = line.encode()
+                    row.append(i)
+                    no.append(j)
+                    h1.append(xxhash.xxh64_intdigest(raw, 42))
+                    h2.append(xxhash.xxh64_intdigest(raw, SEED2))
+                    if len(raw) >= 2 * EDIT_WORDS - 1:
+                        keys.extend(variants(words_of(line), edits))
+                    ends.append(len(keys))
+            at = pa.array(row, pa.int32())
+            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            yield pa.record_batch([part.column(0).take(at), part.column(1).take(at), pa.array(no, pa.int32()), signed(h1), signed(h2), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), signed(keys))], names=["doc_id", "text_key", "line_no", "h1", "h2", "keys"])
+
+    own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
+    return small_batches(own).mapInArrow(rows, f"doc_id {own.schema[0].dataType.simpleString()}, text_key long, line_no int, h1 long, h2 long, keys array<long>")
 
 
 def order() -> Column:
@@ -209,9 +240,8 @@ def near_lines(docs_lines: DataFrame, keyed: DataFrame, edits: int = MOST_EDITS)
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = MOST_EDITS) -> DataFrame:
     """doc_id, text_key (xxhash64 of the text) and gone (numbers of the lines that go, rising) of every row's id and text that lose a line."""
-    found = lines_of(docs, id_col, text_col)
-    lines = written(found.select("doc_id", "text_key", "line_no", "h1", "h2", variants(F.col("line"), edits).alias("keys")), "lines")
-    near = written(near_lines(found, lines.select("h1", "h2", "keys"), edits), "near").withColumn("near", F.lit(True))
+    lines = written(keyed_lines(docs, id_col, text_col, edits), "lines")
+    near = written(near_lines(lines_of(docs, id_col, text_col), lines.select("h1", "h2", "keys"), edits), "near").withColumn("near", F.lit(True))
     short = lines.select("h1", "h2", "doc_id", "text_key", "line_no")
     firsts = short.groupBy("h1", "h2").agg(F.min(order()).alias("first"), F.max(order()).alias("last"))
     wanted = written(firsts.join(near, ["h1", "h2"], "left").filter("first < last OR near").select("h1", "h2", "first", "near"), "wanted")
