@@ -62,7 +62,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.secrets(table(spark, sf_dir, "documents"))
     spans, base = F.col("spans"), F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE))
     counts = [pii.count_of(spans, kind).alias(f"n_{kind}") for kind in secret_scan.BASE]
-    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(spans).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(spans).alias("spans"), F.array_join(F.transform(spans, lambda s: s["form"]), ",").alias("forms"))
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
