@@ -143,18 +143,21 @@ def words(text: Column) -> Column:
 
 
 def disclosures(texts: DataFrame, pairs: DataFrame, n: int, threshold: float = THRESHOLD) -> DataFrame:
-    """term and entity of every pair at or above the threshold. texts: all n documents' texts; pairs: row, text_key,
-    entity, n_entity (documents that hold it) and term of what stands in one document."""
-    each = pairs.groupBy("entity", "term", "text_key").agg(F.count("*").alias("n"), F.first("n_entity").alias("n_entity"))
-    both = each.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("k"), F.first("n_entity").alias("n_entity"))
+    """e and t (hashes of entity and term) of every pair at or above the threshold. texts: all n documents' texts;
+    pairs: e, t, m (documents of one text that holds both) and n_entity (documents that hold the entity)."""
+    both = pairs.groupBy("e", "t").agg(F.sum("m").alias("n_both"), F.count("*").alias("k"), F.first("n_entity").alias("n_entity"))
     smoothed = F.col("k") / (F.col("k") + 1)
     both = written(both.filter(smoothed >= threshold), "pairs")
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
-    some = F.broadcast(both.select(bucket("term").alias("bucket")).distinct())  # at most BUCKETS rows
-    spread = texts.select(F.explode(words(F.col("text"))).alias("term")).join(some, bucket("term") == F.col("bucket"), "left_semi")
-    scored = both.join(spread.groupBy("term").agg(F.count("*").alias("n_term")), "term")
+    spread = some_terms(texts.select(F.explode(words(F.col("text"))).alias("term")), both)
+    scored = both.join(spread.groupBy("t").agg(F.count("*").alias("n_term")), "t")
     share = F.log2(F.lit(n) * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / F.log2(F.lit(n) / F.col("n_entity")) * smoothed
-    return scored.filter((F.lit(n) > F.col("n_entity")) & (F.round(share, 9) >= threshold)).select("entity", "term")
+    return scored.filter((F.lit(n) > F.col("n_entity")) & (F.round(share, 9) >= threshold)).select("e", "t")
+
+
+def some_terms(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """df with t, the hash of term, where its bucket is one of those of wanted's t."""
+    bucket = F.pmod(F.col("t"), F.lit(BUCKETS)).cast("int")
+    return df.withColumn("t", F.xxhash64("term")).join(F.broadcast(wanted.select(bucket.alias("bucket")).distinct()), bucket == F.col("bucket"), "left_semi")  # at most BUCKETS rows
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, threshold: float = THRESHOLD) -> DataFrame:
@@ -162,19 +165,22 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text (null for texts without spans unless with_text) and text_sha256 of every row."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     text = F.col("text") if with_text else F.when(F.size("base") > 0, F.col("text"))
-    based = base_spans(own).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_key"), F.sha2("text", 256).alias("text_sha256"), text.alias("text"), "base")
-    based = written(based, "personal")
+    based = written(base_spans(own).select("doc_id", F.xxhash64("text").alias("text_key"), F.sha2("text", 256).alias("text_sha256"), text.alias("text"), "base"), "personal")
     n = based.count()
     found, rest = based.filter(F.size("base") > 0), based.filter(F.size("base") == 0)
-    each = found.select("row", "text_key", F.explode(entities(F.col("base"))).alias("entity"))
-    sizes = each.groupBy("entity").agg(F.count("*").alias("n_entity"), (F.min("text_key") < F.max("text_key")).alias("again"))
-    known = written(each.join(sizes, "entity"), "entities")
-    again = known.filter("again").select("row", "entity", "n_entity")
-    pairs = again.join(found.select("row", "text_key", words(F.col("text")).alias("words")), "row").select("row", "text_key", "entity", "n_entity", F.explode("words").alias("term"))
-    told = written(disclosures(own, pairs, n, threshold), "told")
-    terms = again.join(told, "entity").groupBy("row").agg(F.collect_set("term").alias("terms"))
-    counts = known.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("entity", "n_entity"))).alias("counts"))
-    full = found.join(counts, "row").join(terms, "row", "left")
+    # Copies are one text with a number m: what follows is joined and counted once for each text.
+    each = written(found.groupBy("text_key").agg(F.first("text").alias("text"), entities(F.first("base")).alias("entities"), F.count("*").alias("m")), "texts")
+    held = each.select("text_key", "m", F.explode("entities").alias("entity"))
+    sizes = held.groupBy("entity").agg(F.sum("m").alias("n_entity"), F.count("*").alias("k"))
+    known = written(held.join(sizes, "entity"), "entities")
+    again = known.filter("k > 1").groupBy("text_key").agg(F.collect_list(F.struct(F.xxhash64("entity").alias("e"), "n_entity")).alias("held"))
+    again = written(each.join(again, "text_key").select("text_key", "m", "held", words(F.col("text")).alias("words")), "again")
+    pairs = again.select("text_key", "m", "words", F.inline("held")).select("text_key", "m", "e", "n_entity", F.explode("words").alias("term"))
+    told = written(disclosures(own, pairs.withColumn("t", F.xxhash64("term")), n, threshold), "told")
+    terms = some_terms(pairs.select("text_key", "e", "term"), told).join(told, ["e", "t"], "left_semi").groupBy("text_key").agg(F.collect_set("term").alias("terms"))
+    counts = known.groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("entity", "n_entity"))).alias("counts"))
+    hints = written(counts.join(terms, "text_key", "left"), "hints")
+    full = found.join(hints, "text_key")
     extra = F.filter(matches(F.col("text"), TERM), lambda m: F.array_contains("terms", F.lower(m["value"])))
     extra = F.transform(extra, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index("term")).alias("rank"), m["end"].alias("end"), F.lit("term").alias("kind"), m["value"].alias("value")))
     full = full.withColumn("extra", F.when(F.col("terms").isNull(), F.array().cast(SPANS)).otherwise(extra))

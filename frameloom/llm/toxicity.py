@@ -21,6 +21,7 @@ each get a row; an empty table gives an empty result; extra columns are not read
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -44,6 +45,8 @@ VOTERS = FIXED_VOTER + 1 + len(PATTERNS)
 #: A mined entry's log odds, and the nats by which its documents' share of toxic ones beats chance (so that
 #: of a million words about five get in by luck).
 LEAST_ODDS, LEAST_NATS, LEAST_DOCS = 2.0, 12.0, 3
+#: Share of the toxic documents that a mined entry must stand in, so that what is counted grows with the documents only.
+LEAST_SHARE = 1 / 400
 #: Words that a task counts before it hands the counts on, and hash buckets of ids and entries that pass a filter.
 HELD, BUCKETS = 400_000, 1 << 20
 PRIOR = 0.1
@@ -181,7 +184,9 @@ def mine(learned: DataFrame, entries: int = ENTRIES) -> Lexicon:
     p, q = size.get(True, 0), size.get(False, 0)
     if not p:
         return Lexicon(list(FIXED))
-    often = written(entry_counts(learned.filter("toxic")).filter(F.col("n") >= LEAST_DOCS), "toxic-entries")
+    # What stands in fewer toxic documents can't reach LEAST_NATS, even without any clean one.
+    least = max(LEAST_DOCS, LEAST_SHARE * p, LEAST_NATS / math.log((p + q) / p) if q else 0)
+    often = written(entry_counts(learned.filter("toxic")).filter(F.col("n") >= least), "toxic-entries")
     wanted = np.zeros(BUCKETS, bool)
     at = often.select((F.crc32(F.col("entry").cast("binary")) % BUCKETS).cast("int").alias("b")).distinct()  # at most BUCKETS rows
     wanted[[r.b for r in at.collect()]] = True
