@@ -149,7 +149,7 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) ->
     own = labels.filter("toxic IS NOT NULL").groupBy(F.col(id_col).alias("__id")).agg((F.max("toxic") > 0).alias("toxic"))
     some = F.broadcast(own.select(buckets("__id").alias("bucket")).distinct())  # at most BUCKETS rows; the rest needs no shuffle
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).filter(F.col("__id").isNotNull())
-    return texts.join(some, buckets("__id") == F.col("bucket"), "left_semi").join(own, "__id").select("text", "toxic")
+    return texts.join(some, buckets("__id") == F.col("bucket"), "left_semi").join(own.hint("merge"), "__id").select("text", "toxic")
 
 
 def entry_counts(texts: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
