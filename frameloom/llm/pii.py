@@ -215,12 +215,12 @@ def count_of(spans: Column, kind: str) -> Column:
 def sanitised(found: DataFrame) -> DataFrame:
     """found with clean_text: base values and disclosing terms replaced by their labels."""
     ends = F.transform("spans", lambda s, i: F.array_max(F.transform(F.slice("spans", F.lit(1), i + 1), lambda x: x["end"])))
-    parts = F.transform(
-        "spans",
-        lambda s, i: let(
-            F.when(i > 0, F.get(ends, i - 1)).otherwise(0),
-            lambda done: F.when(s["start"] < done, F.lit("")).otherwise(F.concat(F.substr("text", done + 1, s["start"] - done), F.get("labels", i))),
-        ),
-    )
-    tail = F.substr("text", F.coalesce(F.array_max(ends), F.lit(0)) + 1)
-    return found.withColumn("clean_text", F.when(F.size("spans") == 0, F.col("text")).otherwise(F.concat(F.array_join(parts, ""), tail)))
+
+    def joined(ends: Column) -> Column:
+        def part(s: Column, i: Column) -> Column:
+            done = F.when(i > 0, F.get(ends, i - 1)).otherwise(0)
+            return F.when(s["start"] < done, F.lit("")).otherwise(F.concat(F.substr("text", done + 1, s["start"] - done), F.get("labels", i)))
+
+        return F.concat(F.array_join(F.transform("spans", part), ""), F.substr("text", F.coalesce(F.array_max(ends), F.lit(0)) + 1))
+
+    return found.withColumn("clean_text", F.when(F.size("spans") == 0, F.col("text")).otherwise(let(ends, joined)))
