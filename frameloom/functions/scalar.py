@@ -110,7 +110,7 @@ def quality() -> Column:
 
 
 def badges(most: int = 3) -> Column:
-    tests = [(F.abs(c("euler_y")) < 15, "Frontal"), (c("eye_open") > 0.5, "Eyes open"), (c("smiling") > 0.5, "Smiling"), (~c("edge_clipped"), "Unclipped")]
+    tests = [(F.abs(c("euler_y")) < 15, "Frontal"), (c("eye_open") > 0.5, "Eyes open"), (c("smiling") > 0.5, "Smiling"), (~c("edge_clipped"), "Full face")]
     return F.slice(F.filter(F.array(*[F.when(t, F.lit(name)) for t, name in tests]), lambda x: x.isNotNull()), 1, most)
 
 
@@ -142,20 +142,38 @@ def generous_crop(full_w: str = "full_w", full_h: str = "full_h", shared: str =
     return F.when(~usable, box(zero, zero, F.greatest(w, F.lit(1)), F.greatest(h, F.lit(1)))).when(side >= f32(0.98) * low, box(zero, zero, w, h)).otherwise(box(left, top, cut(left, w), cut(top, h)))
 
 
-def embed_rect(expand: float = 1.2) -> Column:
-    """Struct l, t, w, h: the square that an embedder sees, clamped into the frame."""
-    side = whole(f32(F.greatest(width(), height())) * f32(expand))
-    cx, cy = F.floor((c("left") + c("right")) / 2).cast("int"), F.floor((c("top") + c("bottom")) / 2).cast("int")
-    half = F.floor(side / 2).cast("int")
-    l, t = clamp(cx - half, F.lit(0), F.greatest(c("frame_w") - 1, F.lit(0))), clamp(cy - half, F.lit(0), F.greatest(c("frame_h") - 1, F.lit(0)))
-    return F.struct(l.alias("l"), t.alias("t"), F.greatest(F.least(side, c("frame_w") - l), F.lit(1)).alias("w"), F.greatest(F.least(side, c("frame_h") - t), F.lit(1)).alias("h"))
+def embed_rect(expand: float = 0.2) -> Column:
+    """Struct l, t, w, h: the square that an embedder sees. Where it meets the right or lower edge it is shifted back."""
+    side = f32(F.greatest(width(), height())) * (f32(1) + f32(expand))
+
+    def along(low: str, high: str, size: Column) -> tuple[Column, Column]:
+        centre = f32(f32(c(low) + c(high)) / f32(2))
+        start = clamp(whole(f32(centre - f32(side / f32(2)))), F.lit(0), size - 1)
+        end = F.least(F.greatest(whole(f32(start) + side), start + 1), size)
+        start = F.greatest(whole(f32(end) - side), F.lit(0))
+        return start, end - start
+
+    (l, w), (t, h) = along("left", "right", c("frame_w")), along("top", "bottom", c("frame_h"))
+    return F.struct(l.alias("l"), t.alias("t"), w.alias("w"), h.alias("h"))
 
 
 def center_fit(bw: Column, bh: Column, rw: Column, rh: Column) -> Column:
-    """Struct x, y, w, h: the centred part of a bw x bh image that fills rw x rh."""
-    scale = F.greatest(rw / bw, rh / bh)
-    w, h = whole(rw / scale), whole(rh / scale)
-    return F.struct(whole((bw - w) / 2).alias("x"), whole((bh - h) / 2).alias("y"), w.alias("w"), h.alias("h"))
+    """Struct x, y, w, h: the centred part of a bw x bh image that fills rw x rh, its edges rounded down."""
+    scale = F.greatest(f32(f32(rw) / f32(bw)), f32(f32(rh) / f32(bh)))
+
+    def along(image: Column, room: Column) -> tuple[Column, Column]:
+        part = f32(f32(room) / scale)
+        start = f32((f32(image) - part) / f32(2))
+        return whole(start), whole(start + part) - whole(start)
+
+    (x, w), (y, h) = along(bw, rw), along(bh, rh)
+    return F.struct(x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
+
+
+def upright(w: Column, h: Column, rotation: Column) -> list[Column]:
+    """Width and height as seen after a rotation by a multiple of 90 degrees."""
+    turned = F.pmod(rotation, F.lit(180)) == 90
+    return [F.when(turned, h).otherwise(w), F.when(turned, w).otherwise(h)]
 
 
 def downscaled(w: Column, h: Column, longest: int = 640) -> list[Column]:
@@ -203,6 +221,14 @@ def stage_status(ordinal: Column, current: Column) -> Column:
     return F.when(ordinal < current, "DONE").when(ordinal == current, "CURRENT").otherwise("PENDING")
 
 
+def progress_text(stage: Column, fraction: Column, done: Column, total: Column, eta: Column) -> Column:
+    """Whole percent, the frame counter while frames are sampled, and whole seconds left if they are known."""
+    percent = F.concat((overall(stage, fraction) * 100).cast("int").cast("string"), F.lit("%"))
+    counter = F.when(stage == "EXTRACT", F.concat(F.lit(" · frame "), done.cast("string"), F.lit("/"), total.cast("string"))).otherwise(F.lit(""))
+    left = F.coalesce(F.concat(F.lit(" · ~"), F.floor(eta / 1000).cast("string"), F.lit("s left")), F.lit(""))
+    return F.concat(percent, counter, left)
+
+
 # -- texts -----------------------------------------------------------------------------------------
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from frameloom.functions import scalar as S
 
 PAGE_W, PAGE_H, X0, X1, TILE_W, FULL_W, GAP, LEAST_H, GRID_H = 1080, 1920, 48, 552, 480, 984, 24, 200, 1360
+#: Fixed value: a label chip's room beside its text.
+PADDING = 56
 #: Full-width rectangles (y, height) on top of pages of 1 to 5 tiles, and the grid's (y, height) below.
 TOPS = {1: [(420, 1000)], 2: [(320, 620), (964, 620)], 3: [(300, 620)], 5: [(300, 540)]}
 GRIDS = {3: (944, 480), 4: (300, 640), 5: (864, 380), 6: (300, 440)}
@@ -52,6 +54,34 @@ def draw_list(people: DataFrame, best: DataFrame, page_full: tuple[int, int] | N
 
 
 def chip(text_width: Column) -> Column:
-    """Struct left, top, right, bottom of a label inside its tile r."""
+    """Struct left, top, right, bottom of a label of a text's width, with its padding, inside its tile."""
     left, base = F.col("x") + 24, F.col("y") + F.col("h")
-    return F.struct(left.alias("left"), (base - 88).alias("top"), F.least(left + text_width, F.col("x") + F.col("w") - 16).alias("right"), (base - 24).alias("bottom"))
+    return F.struct(left.alias("left"), (base - 88).alias("top"), F.least(left + text_width + PADDING, F.col("x") + F.col("w") - 16).alias("right"), (base - 24).alias("bottom"))
+
+
+def page_items(tiles: DataFrame, names: DataFrame, letter_width: float = 14.0) -> DataFrame:
+    """video_id, z, item, text and left, top, right, bottom of all that a page shows, in drawing order: background, title,
+    subtitle, for each tile its image, scrim and chip, and the footer. tiles: of draw_list(); names: video_id, subtitle, footer.
+    A text's width is taken as letter_width for each of its letters, as there is no font here."""
+    wide = lambda text: F.length(text) * F.lit(letter_width)
+    n = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("double")
+
+    def item(z, kind: str, text: Column | None, *box) -> Column:
+        places = [n(v).alias(k) for k, v in zip(("left", "top", "right", "bottom"), box, strict=True)]
+        return F.struct(n(z).alias("z"), F.lit(kind).alias("item"), (F.lit(None) if text is None else text).cast("string").alias("text"), *places)
+
+    pill = wide(F.col("footer")) + 96
+    page = F.array(
+        item(0, "background", None, 0, 0, PAGE_W, PAGE_H),
+        item(1, "title", F.lit("frameloom"), 60, 150, None, None),
+        item(2, "subtitle", F.col("subtitle"), 62, 210, None, None),
+        item(1000, "footer", F.col("footer"), (PAGE_W - pill) / 2, 1746, (PAGE_W + pill) / 2, 1842),
+    )
+    x, y, right, bottom = F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("h")
+    label = F.concat("label", F.lit(" · "), "sublabel")
+    box = chip(wide(label))
+    z = 3 + F.col("idx") * 3
+    tile = F.array(item(z, "tile", None, x, y, right, bottom), item(z + 1, "scrim", None, x, bottom - F.col("h") * 0.38, right, bottom), item(z + 2, "chip", label, box["left"], box["top"], box["right"], box["bottom"]))
+    shown = tiles.select("video_id").distinct()  # a page without tiles is none
+    items = names.join(shown, "video_id", "left_semi").select("video_id", F.inline(page)).unionByName(tiles.select("video_id", F.inline(tile)))
+    return items.withColumn("z", F.col("z").cast("int"))

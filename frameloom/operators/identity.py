@@ -57,6 +57,13 @@ def unit(v: np.ndarray) -> np.ndarray:
     return (v / norm).astype(f) if norm > 1e-9 else v
 
 
+def fitted(v: np.ndarray, size: int) -> np.ndarray:
+    """v cut, or filled up with zeros, to a size: of vectors of unequal sizes only the positions that both have add up."""
+    out = np.zeros(size, f)
+    out[: min(size, len(v))] = v[:size]
+    return out
+
+
 class Video:
     """Columns of one video's samples, in arrival order, and the questions that the stages ask of index lists."""
 
@@ -74,7 +81,7 @@ class Video:
 
     def centroid(self, own: list[int]) -> np.ndarray:
         size = len(self.vectors[own[0]])
-        return unit(ordered_sum(np.stack([np.resize(self.vectors[i], size) for i in own])))
+        return unit(ordered_sum(np.stack([fitted(self.vectors[i], size) for i in own])))
 
     def by_time(self, own: list[int]) -> list[int]:
         return sorted(own, key=lambda i: self.ts[i])
@@ -142,7 +149,7 @@ def assign(video: Video) -> tuple[list[list[int]], list[np.ndarray]]:
             sums.append(v.copy())
         else:
             groups[at].append(i)
-            sums[at] = (sums[at] + np.resize(v, len(sums[at]))).astype(f)
+            sums[at] = (sums[at] + fitted(v, len(sums[at]))).astype(f)
             centroids[at] = unit(sums[at])
     video.log(f"assigned {len(groups)} raw clusters sizes={[len(g) for g in groups]}")
     return groups, centroids

@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from frameloom.functions.vectors import normalized
 
 
+#: Four videos share so many rows: their number grows with the table, their length does not.
+VIDEO_ROWS = 2400
+
+
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The detections table with vec_id, person (planted) and embedding."""
     own = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("own"))
     div = lambda a, b: F.floor(F.expr(a) / b).cast("int")
-    own = own.withColumn("video_id", F.concat(F.lit("v"), (F.col("vec_id") % 4).cast("string"))).withColumn("k", div("vec_id", 4))
+    own = own.withColumn("video_id", F.concat(F.lit("v"), (F.col("vec_id") % 4 + 4 * F.floor(F.col("vec_id") / VIDEO_ROWS)).cast("string"))).withColumn("k", div(f"vec_id % {VIDEO_ROWS}", 4))
     own = own.withColumns({"scene": div("k", 20), "pos": (F.col("k") % 20).cast("int")}).withColumn("fpf", 1 + F.col("scene") % 2)
     own = own.withColumns({"det_idx": F.col("pos") % F.col("fpf"), "frame_idx": F.col("scene") * 35 + F.floor(F.col("pos") / F.col("fpf")).cast("int")})
     own = own.withColumns({"person": (F.col("scene") + 2 * F.col("det_idx")) % 5, "ts_ms": F.col("frame_idx").cast("long") * 200})
@@ -34,7 +38,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Tables det and smp (face samples; cluster is the planted person) for DuckDB.
 SQL = """
-WITH e0 AS (SELECT vec_id, embedding AS own, 'v' || (vec_id % 4) AS video_id, vec_id // 4 AS k FROM embeddings),
+WITH e0 AS (SELECT vec_id, embedding AS own, 'v' || (vec_id % 4 + 4 * (vec_id // {rows})) AS video_id, vec_id % {rows} // 4 AS k FROM embeddings),
 e1 AS (SELECT *, k // 20 AS scene, k % 20 AS pos, 1 + (k // 20) % 2 AS fpf FROM e0),
 e2 AS (SELECT *, pos % fpf AS det_idx, scene * 35 + pos // fpf AS frame_idx, (scene + 2 * (pos % fpf)) % 5 AS person FROM e1),
 e3 AS (SELECT e2.*, list_transform(list_zip(b.own, e2.own), lambda p: p[1]::DOUBLE + 0.35 * p[2]::DOUBLE) AS mixed FROM e2 JOIN (SELECT vec_id AS person, own FROM e0 WHERE vec_id < 5) b USING (person)),
@@ -49,4 +53,4 @@ cap AS (SELECT *, ("right" - "left") * (bottom - "top") AS area, count(*) OVER (
   "left" < 51.2::FLOAT OR "top" < 51.2::FLOAT OR "right" > 588.8::FLOAT OR bottom > 1084.8::FLOAT AS edge_clipped FROM det WHERE frame_sharp >= 40),
 smp AS (SELECT *, face_sharp AS sharpness, least(coalesce(left_eye, 0.5::FLOAT), coalesce(right_eye, 0.5::FLOAT)) AS eye_open, coalesce(smiling, 0.5::FLOAT) AS smile,
   (row_number() OVER (PARTITION BY video_id ORDER BY frame_idx, area DESC, det_idx) - 1)::INT AS seq FROM cap WHERE NOT partial AND "left" + 25 > 12.8 AND "right" - 25 < 627.2 AND face_sharp >= 60)
-"""
+""".replace("{rows}", str(VIDEO_ROWS))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frameloom.functions import pixels
@@ -124,10 +124,9 @@ def detect_stats(spark, sf_dir):
 l AS (SELECT image_id, lag(g) OVER r + lead(g) OVER r + lag(g) OVER c + lead(g) OVER c - 4 * g AS lap FROM g WINDOW r AS (PARTITION BY image_id, y ORDER BY x), c AS (PARTITION BY image_id, x ORDER BY y))
 SELECT image_id, round(greatest(avg(lap::DOUBLE * lap) - avg(lap::DOUBLE) * avg(lap::DOUBLE), 0), 4) AS sharpness FROM l GROUP BY 1""")
 def laplacian_variance(spark, sf_dir):
-    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("i", "v"))
-    gray = ((F.col("v").cast("double") * 0.5 + 0.5) * 255).cast("int")
-    found = pixels.laplacian_variance(own.select("image_id", (F.col("i") % 8).alias("x"), F.floor(F.col("i") / 8).alias("y"), gray.alias("g")))
-    return found.withColumn("sharpness", F.round("sharpness", 4))
+    gray = F.transform("embedding", lambda v: ((v.cast("double") * 0.5 + 0.5) * 255).cast("int"))
+    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), gray.alias("g"))
+    return own.select("image_id", F.round(pixels.laplacian_variance_of(F.col("g"), 8, 8), 4).alias("sharpness"))
 
 
 @query("SELECT event_id, trunc(0.299::DOUBLE * (event_id % 256) + 0.587::DOUBLE * (event_id // 7 % 256) + 0.114::DOUBLE * (event_id // 11 % 256))::INT AS gray FROM events")
@@ -140,11 +139,11 @@ def gray_values(spark, sf_dir):
 # -- vectors ---------------------------------------------------------------------------------------
 
 
-@query("""WITH e AS (SELECT vec_id % 4 AS v, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings), p AS (SELECT a.v, list_sum(list_transform(list_zip(a.x, b.x), lambda q: q[1] * q[2])) AS sim FROM e a JOIN e b ON a.v = b.v AND a.vec_id < b.vec_id),
+@query("""WITH e AS (SELECT vec_id // 200 AS v, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings), p AS (SELECT a.v, list_sum(list_transform(list_zip(a.x, b.x), lambda q: q[1] * q[2])) AS sim FROM e a JOIN e b ON a.v = b.v AND a.vec_id < b.vec_id),
 c AS (SELECT v, least(greatest(trunc((sim * 0.5 + 0.5) * 10)::INT, 0), 9) AS bucket, count(*) AS pairs FROM p GROUP BY ALL), t AS (SELECT v, round(avg(sim), 6) AS mean_sim, round(max(sim), 6) AS max_sim FROM p GROUP BY 1), d AS (SELECT *, unnest(range(0, 10))::INT AS bucket FROM t)
 SELECT 'v' || d.v AS video_id, d.bucket, mean_sim, max_sim, coalesce(pairs, 0) AS pairs FROM d LEFT JOIN c ON c.v = d.v AND c.bucket = d.bucket""")
 def pairwise_similarity_hist(spark, sf_dir):
-    own = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), (F.col("vec_id") % 4).cast("string")).alias("video_id"), F.col("vec_id").alias("seq"), "embedding")
+    own = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), F.floor(F.col("vec_id") / 200).cast("string")).alias("video_id"), F.col("vec_id").alias("seq"), "embedding")
     found = similarity.histogram(similarity.pairs(own, ["video_id"], "double"), ["video_id"])
     return found.withColumns({x: F.round(x, 6) for x in ("mean_sim", "max_sim")})
 
@@ -158,13 +157,16 @@ def cluster_centroids(spark, sf_dir):
     return found.select("label", F.posexplode("centroid").alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
-@query(CEN + """, sims AS (SELECT vec_id, cen.label, list_sum(list_transform(list_zip(embedding, centroid), lambda q: q[1]::DOUBLE * q[2])) AS sim FROM embeddings, cen), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, label DESC) AS r FROM sims),
+@query("""WITH e AS (SELECT vec_id, vec_id // 400 AS v, label, embedding FROM embeddings), x AS (SELECT v, label, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS pos FROM e), s AS (SELECT v, label, pos, sum(x) AS s FROM x GROUP BY ALL), c AS (SELECT v, label, list(s ORDER BY pos) AS q, sqrt(sum(s * s)) AS n FROM s GROUP BY ALL),
+cen AS (SELECT v, label, list_transform(q, lambda x: CASE WHEN n > 1e-9 THEN x / n ELSE x END) AS centroid FROM c),
+sims AS (SELECT vec_id, cen.label, list_sum(list_transform(list_zip(embedding, centroid), lambda q: q[1]::DOUBLE * q[2])) AS sim FROM e JOIN cen ON cen.v = e.v), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, label DESC) AS r FROM sims),
 t AS (SELECT vec_id, max(CASE WHEN r = 1 THEN label END) AS label, max(CASE WHEN r = 1 THEN sim END) AS sim, max(CASE WHEN r = 2 THEN sim END) AS second FROM r GROUP BY 1)
 SELECT vec_id, CASE WHEN sim >= 0.1 AND (second IS NULL OR sim - greatest(second, 0.1) >= 0.05) THEN label END AS best, round(sim, 6) AS sim, round(greatest(coalesce(second, -1), 0.1), 6) AS runner_up FROM t""")
 def nearest_centroid_margin(spark, sf_dir):
-    own = table(spark, sf_dir, "embeddings").withColumn("all", F.lit(1))
-    cen = mean_vectors(own, ["label"]).withColumn("all", F.lit(1))  # a few labels
-    found = similarity.nearest(own.select("all", F.col("vec_id").alias("seq"), "embedding"), F.broadcast(cen), ["all"], "label", floor=0.1)
+    """Of each vector the centroid of its own video (400 vectors each) that wins it."""
+    own = table(spark, sf_dir, "embeddings").withColumn("video_id", F.floor(F.col("vec_id") / 400))
+    cen = mean_vectors(own, ["video_id", "label"])
+    found = similarity.nearest(own.select("video_id", F.col("vec_id").alias("seq"), "embedding"), cen, ["video_id"], "label", floor=0.1)
     return found.select(F.col("seq").alias("vec_id"), "best", F.round("sim", 6).alias("sim"), F.round("runner_up", 6).alias("runner_up"))
 
 
@@ -248,7 +250,7 @@ def best_shots(spark, sf_dir):
     return people.best_shots(own, WHO).select(*WHO, "seq", F.round(F.col("total").cast("double"), 4).alias("total"))
 
 
-@query(SMP + "SELECT video_id, seq, array_to_string(list_filter([CASE WHEN abs(euler_y) < 15 THEN 'Frontal' END, CASE WHEN eye_open > 0.5 THEN 'Eyes open' END, CASE WHEN smile > 0.5 THEN 'Smiling' END, CASE WHEN NOT edge_clipped THEN 'Unclipped' END], lambda x: x IS NOT NULL)[1:3], ',') AS badges FROM smp")
+@query(SMP + "SELECT video_id, seq, array_to_string(list_filter([CASE WHEN abs(euler_y) < 15 THEN 'Frontal' END, CASE WHEN eye_open > 0.5 THEN 'Eyes open' END, CASE WHEN smile > 0.5 THEN 'Smiling' END, CASE WHEN NOT edge_clipped THEN 'Full face' END], lambda x: x IS NOT NULL)[1:3], ',') AS badges FROM smp")
 def quality_badges(spark, sf_dir):
     return samples_of(spark, sf_dir).select("video_id", "seq", F.array_join(S.badges(), ",").alias("badges"))
 
@@ -291,13 +293,12 @@ def generous_crops(spark, sf_dir):
     return own.select("video_id", "seq", S.generous_crop().alias("r")).select("video_id", "seq", "r.*")
 
 
-FIT = "greatest(480.0::DOUBLE / w, 640.0::DOUBLE / h)"
-
-
-@query(f"WITH b AS (SELECT p_partkey, p_size * 37 + 100 AS w, p_partkey % 900 + 100 AS h FROM part) SELECT p_partkey, trunc((w - trunc(480 / {FIT})) / 2)::INT AS x, trunc((h - trunc(640 / {FIT})) / 2)::INT AS y, trunc(480 / {FIT})::INT AS w, trunc(640 / {FIT})::INT AS h FROM b")
+@query("""WITH b AS (SELECT p_partkey, p_size * 37 + 100 AS w, p_partkey % 900 + 100 AS h FROM part), s AS (SELECT *, greatest(480::FLOAT / w::FLOAT, 640::FLOAT / h::FLOAT) AS scale FROM b),
+p AS (SELECT *, 480::FLOAT / scale AS pw, 640::FLOAT / scale AS ph FROM s), o AS (SELECT *, (w::FLOAT - pw) / 2::FLOAT AS sx, (h::FLOAT - ph) / 2::FLOAT AS sy FROM p)
+SELECT p_partkey, trunc(sx)::INT AS x, trunc(sy)::INT AS y, trunc(sx + pw)::INT - trunc(sx)::INT AS w, trunc(sy + ph)::INT - trunc(sy)::INT AS h FROM o""")
 def center_crop_fit(spark, sf_dir):
     own = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 37 + 100).alias("bw"), (F.col("p_partkey") % 900 + 100).alias("bh"))
-    return own.select("p_partkey", S.center_fit(F.col("bw"), F.col("bh"), F.lit(480.0), F.lit(640.0)).alias("r")).select("p_partkey", "r.*")
+    return own.select("p_partkey", S.center_fit(F.col("bw"), F.col("bh"), F.lit(480), F.lit(640)).alias("r")).select("p_partkey", "r.*")
 
 
 @query("""WITH g AS (SELECT p_partkey, p_size * 40 AS w, (p_partkey % 1500)::INT AS h FROM part) SELECT p_partkey, greatest(trunc(w::FLOAT * least(1::FLOAT, 640::FLOAT / greatest(w, h)::FLOAT))::INT, 1) AS small_w, greatest(trunc(h::FLOAT * least(1::FLOAT, 640::FLOAT / greatest(w, h)::FLOAT))::INT, 1) AS small_h, 180 AS thumb_w, greatest(trunc(h::FLOAT * 180::FLOAT / w::FLOAT)::INT, 1) AS thumb_h FROM g""")
@@ -307,7 +308,10 @@ def frame_sizes(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", small[0].alias("small_w"), small[1].alias("small_h"), thumb[0].alias("thumb_w"), thumb[1].alias("thumb_h"))
 
 
-@query(SMP + """, r AS (SELECT video_id, seq, trunc(greatest("right" - "left", bottom - "top")::FLOAT * 1.2::FLOAT)::INT AS s, ("left" + "right") // 2 AS cx, ("top" + bottom) // 2 AS cy FROM smp), q AS (SELECT *, least(greatest(cx - s // 2, 0), 639)::INT AS l, least(greatest(cy - s // 2, 0), 1135)::INT AS t FROM r) SELECT video_id, seq, l, t, least(s, 640 - l) AS w, least(s, 1136 - t) AS h FROM q""")
+@query(SMP + """, r AS (SELECT video_id, seq, greatest("right" - "left", bottom - "top")::FLOAT * (1::FLOAT + 0.2::FLOAT) AS s, ("left" + "right")::FLOAT / 2::FLOAT AS cx, ("top" + bottom)::FLOAT / 2::FLOAT AS cy FROM smp),
+a AS (SELECT *, least(greatest(trunc(cx - s / 2::FLOAT)::INT, 0), 639) AS l0, least(greatest(trunc(cy - s / 2::FLOAT)::INT, 0), 1135) AS t0 FROM r),
+e AS (SELECT *, least(greatest(trunc(l0::FLOAT + s)::INT, l0 + 1), 640) AS r1, least(greatest(trunc(t0::FLOAT + s)::INT, t0 + 1), 1136) AS b1 FROM a),
+o AS (SELECT *, greatest(trunc(r1::FLOAT - s)::INT, 0) AS l, greatest(trunc(b1::FLOAT - s)::INT, 0) AS t FROM e) SELECT video_id, seq, l, t, r1 - l AS w, b1 - t AS h FROM o""")
 def embed_crop_rect(spark, sf_dir):
     return samples_of(spark, sf_dir).select("video_id", "seq", S.embed_rect().alias("r")).select("video_id", "seq", "r.*")
 
@@ -379,7 +383,7 @@ def first_seen(spark, sf_dir):
     return people.first_seen(samples_of(spark, sf_dir), "person")
 
 
-@query(f"WITH {LAY} SELECT n::INT AS n, idx::INT AS idx, (x + 24)::INT AS \"left\", (y + h - 88)::INT AS \"top\", least(x + 24 + 100 + idx * 90, x + w - 16)::INT AS \"right\", (y + h - 24)::INT AS bottom FROM lay")
+@query(f"WITH {LAY} SELECT n::INT AS n, idx::INT AS idx, (x + 24)::INT AS \"left\", (y + h - 88)::INT AS \"top\", least(x + 24 + 100 + idx * 90 + 56, x + w - 16)::INT AS \"right\", (y + h - 24)::INT AS bottom FROM lay")
 def chip_geometry(spark, sf_dir):
     pages = collage.layout(spark, 15)
     return pages.select("n", "idx", collage.chip(100 + F.col("idx") * 90).alias("c")).select("n", "idx", "c.*")
@@ -416,16 +420,39 @@ def clusterer_decisions(spark, sf_dir):
     return identity.decisions(samples_of(spark, sf_dir))
 
 
-@query(SMP + "SELECT video_id, seq, 0 AS half FROM smp WHERE false")
-def fission_of_pure_groups(spark, sf_dir):
-    """Halves other than the first of the planted persons' groups: pure groups stay whole, so none."""
-    return identity.fission(samples_of(spark, sf_dir), WHO).filter("half > 0").select("video_id", "seq", "half")
+@query(SMP + SEG + """, m AS (SELECT *, person // 2 AS pair FROM smp), ok AS (SELECT video_id, pair, count(DISTINCT person) = 2 AND bool_and(n >= 3 AND has) AS two FROM (SELECT video_id, pair, person, count(*) AS n, bool_or((video_id, person) IN (SELECT (video_id, person) FROM seg)) AS has FROM m GROUP BY ALL) GROUP BY ALL),
+f AS (SELECT *, min(seq) OVER (PARTITION BY video_id, person) AS f FROM m) SELECT video_id, pair, seq, CASE WHEN two THEN dense_rank() OVER (PARTITION BY video_id, pair ORDER BY f) - 1 ELSE 0 END::INT AS half FROM f JOIN ok USING (video_id, pair)""")
+def fission_of_mixed_groups(spark, sf_dir):
+    """Groups of two planted persons (and one of a single one): halves in the order of their first faces."""
+    mixed = samples_of(spark, sf_dir).withColumn("pair", F.floor(F.col("person") / 2))
+    found = identity.fission(mixed, ["video_id", "pair"])
+    first = F.min("seq").over(Window.partitionBy("video_id", "pair", "half"))
+    rank = F.dense_rank().over(Window.partitionBy("video_id", "pair").orderBy("first")) - 1
+    return found.withColumn("first", first).select("video_id", "pair", "seq", rank.alias("half"))
+
+
+@query("SELECT o_orderkey, (o_orderkey % 101) || '%' || ' · frame ' || (o_orderkey % 101) || '/500' || CASE WHEN o_orderkey % 3 = 0 THEN ' · ~' || (o_orderkey % 7) || 's left' ELSE '' END AS text FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 101 < 20)")
+def progress_texts(spark, sf_dir):
+    done = F.col("o_orderkey") % 101
+    own = table(spark, sf_dir, "orders").select("o_orderkey").filter(done < 20)
+    text = S.progress_text(F.lit("EXTRACT"), (done + 0.5) / 20, done, F.lit(500), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") % 7 * 1000 + 900))
+    return own.select("o_orderkey", text.alias("text"))
+
+
+@query("SELECT p_partkey, CASE WHEN r % 180 = 90 THEN h ELSE w END AS w, CASE WHEN r % 180 = 90 THEN w ELSE h END AS h FROM (SELECT p_partkey, p_size * 40 AS w, (p_partkey % 1500)::INT AS h, p_partkey % 4 * 90 AS r FROM part)")
+def upright_sizes(spark, sf_dir):
+    w, h = S.upright(F.col("p_size") * 40, (F.col("p_partkey") % 1500).cast("int"), F.col("p_partkey") % 4 * 90)
+    return table(spark, sf_dir, "part").select("p_partkey", w.alias("w"), h.alias("h"))
 
 
 def _streamed(spark: SparkSession, rows: DataFrame) -> tuple[str, str]:
     """A folder with the rows as files, and a folder for the stream's checkpoint and output, in the shared folder."""
     base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="frameloom-")).rstrip("/") + "/stream-" + spark._jvm.java.util.UUID.randomUUID().toString()
-    rows.write.parquet(f"{base}/in")
+    edges = rows.select(F.min("ts_ms"), F.max("ts_ms").alias("b")).first()
+    third = max(1, ((edges[1] or 0) - (edges[0] or 0)) // 3)
+    for k in range(3):  # three files in the order of time, so that state crosses micro-batches
+        part = F.least(F.floor((F.col("ts_ms") - (edges[0] or 0)) / third), F.lit(2)) == k
+        rows.filter(part).coalesce(1).write.mode("append").parquet(f"{base}/in")
     return f"{base}/in", base
 
 
@@ -434,7 +461,8 @@ def stream_segments(spark, sf_dir):
     own = samples_of(spark, sf_dir).select("video_id", "person", "ts_ms")
     # A row far ahead moves the watermark past every open run.
     end = spark.createDataFrame([("end", 0, 10**12)], own.schema)
-    source, base = _streamed(spark, own.unionByName(end).repartition(1))
+    source, base = _streamed(spark, own)
+    end.coalesce(1).write.mode("append").parquet(source)
     found = timeline.appearances(timeline.read(spark, source, "video_id string, person int, ts_ms long"), WHO)
     return timeline.collected(found, f"{base}/checkpoint", f"{base}/out")
 
@@ -442,6 +470,6 @@ def stream_segments(spark, sf_dir):
 @query()
 def stream_assign(spark, sf_dir):
     own = samples_of(spark, sf_dir).select("video_id", "seq", "ts_ms", "embedding")
-    source, base = _streamed(spark, own.repartition(1))
+    source, base = _streamed(spark, own)
     found = timeline.assigned(timeline.read(spark, source, "video_id string, seq int, ts_ms long, embedding array<float>"))
     return timeline.collected(found, f"{base}/checkpoint", f"{base}/out")

@@ -9,14 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom import schemas
+from frameloom.functions import pixels
 from frameloom.functions import scalar as S
 
 FPS, MOST_FRAMES = 5, 200
 
 
 def video_files(spark: SparkSession, path: str, pattern: str = "*.mp4") -> DataFrame:
-    """Files of a folder tree: path, modificationTime, length, content."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    """Files of a folder tree: path, modificationTime, length. Contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "modificationTime", "length")
 
 
 def number(text: Column) -> Column:
@@ -24,15 +26,15 @@ def number(text: Column) -> Column:
     return F.coalesce(text.try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def videos(files: DataFrame, probe: Callable[[bytes], dict[str, str]]) -> DataFrame:
-    """The videos table of files. probe: metadata texts (duration_ms, width, height, rotation, name) of a file's bytes."""
+def videos(files: DataFrame, probe: Callable[[str], dict[str, str]]) -> DataFrame:
+    """The videos table of files. probe: metadata texts (duration_ms, width, height, rotation, name) of the file at a path."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [probe(x) for x in batch["content"]]
+            found = [probe(x) for x in batch["path"]]
             yield pd.DataFrame({"uri": batch["path"], **{k: [m.get(k) for m in found] for k in ("name", "duration_ms", "width", "height", "rotation")}})
 
-    raw = files.select("path", "content").mapInPandas(rows, "uri string, name string, duration_ms string, width string, height string, rotation string")
+    raw = files.select("path").mapInPandas(rows, "uri string, name string, duration_ms string, width string, height string, rotation string")
     return named(raw)
 
 
@@ -59,14 +61,16 @@ def frame_grid(videos_: DataFrame, fps: int = FPS, most: int = MOST_FRAMES) -> D
 
 
 def sampled_frames(videos_: DataFrame, decode: Callable[[str, int], tuple[int, int, list[int]] | None], fps: int = FPS, most: int = MOST_FRAMES) -> DataFrame:
-    """The frames table. decode(uri, ts_ms): width, height and gray values of the nearest frame, or None to skip it."""
+    """The frames table. decode(uri, ts_ms): width, height and gray values of the nearest frame, or None to skip it.
+    Frames are turned upright by the video's rotation (none without that column) and made no larger than detection needs."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(r.video_id, r.frame_idx, r.ts_ms, *image) for r in batch.itertuples() if (image := decode(r.uri, r.ts_ms)) is not None]
+            out = [(r.video_id, r.frame_idx, r.ts_ms, *pixels.small_upright(*image, r.rotation)) for r in batch.itertuples() if (image := decode(r.uri, r.ts_ms)) is not None]
             yield pd.DataFrame(out, columns=["video_id", "frame_idx", "ts_ms", "w", "h", "gray"])
 
-    return frame_grid(videos_, fps, most).select("video_id", "uri", "frame_idx", "ts_ms").mapInPandas(rows, schemas.FRAMES)
+    rotation = F.col("rotation") if "rotation" in videos_.columns else F.lit(0)
+    return frame_grid(videos_, fps, most).select("video_id", "uri", "frame_idx", "ts_ms", rotation.alias("rotation")).mapInPandas(rows, schemas.FRAMES)
 
 
 def detections(frames: DataFrame, detect: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:

@@ -20,18 +20,25 @@ def _paths(spark: SparkSession, *paths: str):
 
 
 def publish(df: DataFrame, path: str) -> None:
-    """Writes beside the path, then renames; what a failure leaves is deleted and the old result stays."""
-    spark, staged = df.sparkSession, f"{path}.{uuid.uuid4().hex}"
-    fs, (final, temporary) = _paths(spark, path, staged)
+    """Writes beside the path, moves the old result aside, the new one in, and then deletes the old. If a step fails the
+    old result is back at the path; only if that fails too both are left beside it, under the path's name and a suffix."""
+    spark, mark = df.sparkSession, uuid.uuid4().hex
+    fs, (final, staged, aside) = _paths(spark, path, f"{path}.{mark}", f"{path}.{mark}.old")
     try:
-        df.write.parquet(staged)
-        if fs.exists(final):
-            fs.delete(final, True)
-        if not fs.rename(temporary, final):
-            raise OSError(f"{path} could not be published")
-    finally:
-        if fs.exists(temporary):
-            fs.delete(temporary, True)
+        df.write.parquet(str(staged))
+    except BaseException:
+        fs.delete(staged, True)
+        raise
+    had = fs.exists(final)
+    if had and not fs.rename(final, aside):
+        fs.delete(staged, True)
+        raise OSError(f"{path} could not be moved aside")
+    if not fs.rename(staged, final):
+        if not had or fs.rename(aside, final):
+            fs.delete(staged, True)
+        raise OSError(f"{path} could not be published")
+    if had:
+        fs.delete(aside, True)
 
 
 class ResultStore:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from frameloom.operators.identity import Rules, contest, similarity, unit
+from frameloom.operators.identity import Rules, contest, fitted, similarity, unit
 from frameloom.operators.segments import GAP_MS, LEAST_FRAMES
 
 
@@ -49,7 +49,7 @@ def assigned(samples: DataFrame, rules: Rules = Rules()) -> DataFrame:
                 sums.append(v)
                 centroids.append(v)
             else:
-                sums[at] = (sums[at] + v).astype(np.float32)
+                sums[at] = (sums[at] + fitted(v, len(sums[at]))).astype(np.float32)
                 centroids[at] = unit(sums[at])
             out.append((key[0], r.seq, at))
         state.update(([v.tolist() for v in sums], [v.tolist() for v in centroids], int(last)))

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from frameloom.operators.identity import Rules, Video, cluster, cluster_faces, split
+from frameloom.operators.identity import BOX, Rules, Video, cluster, cluster_faces, split
 
 A, B, C = (1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)
 FAR = (-0.5774, -0.5774, -0.5774)
@@ -141,3 +141,9 @@ def test_invariant_to_row_order(spark):
         assert len({s for *_, s in got}) == len(got)
         want = want or got
         assert got == want
+
+
+def test_vectors_of_unequal_sizes_add_up_where_both_have_positions():
+    rows = pd.DataFrame({"ts_ms": [0, 200], "embedding": [[3.0, 0.0, 0.0], [0.0, 4.0]], **{x: [0, 0] for x in BOX}})
+    video = Video(rows, Rules(), lambda _: None)
+    assert np.allclose(video.centroid([0, 1]), [0.6, 0.8, 0.0]) and np.allclose(video.centroid([1, 0]), [0.6, 0.8])

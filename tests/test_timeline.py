@@ -106,7 +106,7 @@ def test_scores(spark):  # Q1 to Q7
     crowd = people.best_shots(shots(spark, {"sharpness": 400.0}, dict(sharpness=550.0, eye_open=1.0, smiling=1.0, solo_frame=False)), ["who"]).first()
     assert crowd.sharpness == 400
     assert people.best_shots(shots(spark, {}, {}), ["who"]).first().member_pos == 0
-    assert shots(spark, {"euler_y": 20.0}).select(S.badges()).first()[0] == ["Eyes open", "Smiling", "Unclipped"]
+    assert shots(spark, {"euler_y": 20.0}).select(S.badges()).first()[0] == ["Eyes open", "Smiling", "Full face"]
 
 
 def test_layouts(spark):  # L1, L2
@@ -186,7 +186,7 @@ def test_sources_and_sinks(spark, tmp_path):
         (tmp_path / "in" / f"{i}.mp4").write_bytes(bytes([i]))
     (tmp_path / "in" / "x.txt").write_bytes(b"")
     files = media.video_files(spark, str(tmp_path / "in"))
-    found = media.videos(files, lambda b: {"duration_ms": "1000" if b[0] else "soon", "width": "64", "height": "48"}).orderBy("uri").collect()
+    found = media.videos(files, lambda path: {"duration_ms": "1000" if path.endswith("1.mp4") else "soon", "width": "64", "height": "48"}).orderBy("uri").collect()
     assert [(r.display_name, r.duration_ms, r.frame_count, r.rotation) for r in found] == [("0.mp4", 0, 0, 0), ("1.mp4", 1000, 5, 0)]
     clips = spark.createDataFrame([("a", "a", 1000)], "video_id string, uri string, duration_ms long")
     frames = media.sampled_frames(clips, lambda uri, ts: None if ts == 200 else (2, 1, [ts % 256, 0]))
@@ -234,3 +234,65 @@ def test_streamed_assignment_equals_the_fold(spark, tmp_path):
         spark.createDataFrame(rows[k : k + 4], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     found = timeline.collected(timeline.assigned(timeline.read(spark, str(tmp_path / "in"), schema)), str(tmp_path / "c"), str(tmp_path / "out"))
     assert {(r.seq % 2, r.cluster_id) for r in found.collect()} == {(0, 0), (1, 1)}
+
+
+def test_embedder_squares_and_tile_parts(spark):
+    """Worked by hand from the rules: a square at the edge is shifted back, and a part's edges are rounded down."""
+    rect = lambda **box: faces(spark, box).select(S.embed_rect().alias("r")).select("r.*").first()
+    assert tuple(rect(left=600, right=640, top=300, bottom=340)) == (592, 296, 48, 48)
+    assert tuple(rect(left=100, right=141, top=300, bottom=341)) == (94, 294, 50, 50)
+    assert tuple(rect(left=0, right=640, top=0, bottom=900)) == (0, 0, 640, 1080)
+    fit = spark.range(1).select(S.center_fit(F.lit(301), F.lit(101), F.lit(480), F.lit(640)).alias("r")).select("r.*").first()
+    assert tuple(fit) == (112, 0, 76, 101)
+
+
+def test_frames_are_turned_and_faces_cropped(spark):
+    image = np.arange(6).reshape(2, 3)
+    assert pixels.small_upright(3, 2, image.reshape(-1).tolist(), 0) == (3, 2, [0, 1, 2, 3, 4, 5])
+    assert pixels.small_upright(3, 2, image.reshape(-1).tolist(), 90) == (2, 3, [3, 0, 4, 1, 5, 2])
+    assert pixels.small_upright(3, 2, image.reshape(-1).tolist(), 270) == (2, 3, [2, 5, 1, 4, 0, 3])
+    assert pixels.small_upright(1280, 1, [7] * 1280, 0)[:2] == (640, 1)
+    clips = spark.createDataFrame([("a", "a", 400, 90)], "video_id string, uri string, duration_ms long, rotation int")
+    assert {(r.w, r.h) for r in media.sampled_frames(clips, lambda uri, ts: (3, 2, [0] * 6)).collect()} == {(2, 3)}
+    big = np.zeros((200, 300), int)
+    big[50:150, 100:200] = 9
+    assert (pixels.face_crop(big, (100, 50, 100, 100), 5.0) == 9).all() and pixels.face_crop(big, (100, 50, 100, 100)).shape == (112, 112)
+    bar = np.zeros((101, 101), int)
+    bar[50, :] = 9  # a level line, as seen by a head tilted by a right angle, stands upright
+    turned = pixels.face_crop(bar, (0, 0, 101, 101), 90.0)
+    assert (turned[:, 55:57] == 9).any(1).all() and (turned[:, :50] == 0).all()
+    flat = pixels.face_crop(np.full((100, 100), 9), (0, 0, 100, 100), 45.0)
+    assert flat[56, 56] == 9 and flat[0, 0] == 0
+    assert pixels.sharpness_of(big, (400, 400, 500, 500)) == 0.0
+
+
+def test_page_items(spark):
+    tiles = spark.createDataFrame([("v", 0, 1, 48, 420, 984, 1000, "Person A", "×2")], "video_id string, idx int, n int, x int, y int, w int, h int, label string, sublabel string")
+    names = spark.createDataFrame([("v", "clip · 1 Jan 2024", "1 people"), ("none", "x", "y")], "video_id string, subtitle string, footer string")
+    rows = collage.page_items(tiles, names).orderBy("video_id", "z").collect()
+    assert [r.item for r in rows] == ["background", "title", "subtitle", "tile", "scrim", "chip", "footer"]
+    by = {r["item"]: r for r in rows}
+    assert by["scrim"].top == pytest.approx(1420 - 380) and by["chip"].text == "Person A · ×2" and by["chip"].right == 48 + 24 + 13 * 14 + 56
+    assert by["footer"].left + by["footer"].right == 1080 and by["footer"].right - by["footer"].left == 8 * 14 + 96
+
+
+def test_publishing_keeps_the_old_result_if_a_rename_fails(spark, tmp_path, monkeypatch):
+    one = spark.range(1)
+    path = str(tmp_path / "out")
+    sinks.publish(one, path)
+    paths = sinks._paths
+
+    class Failing:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def rename(self, a, b):
+            return str(a).endswith(".old") and self.fs.rename(a, b) or str(b).endswith(".old") and self.fs.rename(a, b)
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+    monkeypatch.setattr(sinks, "_paths", lambda *a: (Failing(paths(*a)[0]), paths(*a)[1]))
+    with pytest.raises(OSError):
+        sinks.publish(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 1 and len(list(tmp_path.iterdir())) == 1
