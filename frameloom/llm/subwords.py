@@ -23,7 +23,7 @@ REMEMBERED = 400_000
 SIMPLE = re.compile("[^\x00-\u012f\u0131-\u024f]")
 MARKS = re.escape("".join(c for c in map(chr, range(0x250)) if c not in "\t\n\x0b\x0c\r \x85\xa0" and unicodedata.category(c)[0] not in "LN"))
 #: A comma or full stop beside another mark, with which it is one pre-token.
-JOINED = re.compile(f"[{MARKS}][.,]|[.,][{MARKS}]")
+JOINED = re.compile(f"[.,](?:(?<=[{MARKS}].)|[{MARKS}])")
 #: The pre-tokens of such a file, for the simple range; checked against the file before use.
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _made: dict[str, WordBpe] = {}
@@ -68,12 +68,11 @@ class WordBpe:
     def _learn(self, new: set[str]) -> None:
         """Ids of words that are not known yet."""
         known = self.known
-        simple = {w for w in new if w.isascii() or not SIMPLE.search(w)}
-        plain = {w for w in simple if w.isalpha() and w.islower()}
-        known.update(self._merge(list(plain)))
+        plain = [w for w in new if w.isalpha() and w.islower() and (w.isascii() or not SIMPLE.search(w))]
+        known.update(self._merge(plain))
         split = {}
-        for w in new - plain:
-            if w not in simple or "<|" in w:
+        for w in new.difference(plain):
+            if "<|" in w or not w.isascii() and SIMPLE.search(w):
                 known[w] = self._library(w)
             else:
                 split[w] = self.findall(w.lower())
@@ -86,7 +85,7 @@ class WordBpe:
         if not self.by_word:
             return [self._library(t) if t else b"" for t in texts]
         split = list(map(self._words, texts))
-        words = set(chain.from_iterable(split))
+        words = set().union(*split)
         if len(self.known) > REMEMBERED:
             self.known.clear()
             self.known[""] = b""
@@ -101,7 +100,7 @@ class WordBpe:
         if text.isascii() or not SIMPLE.search(text):
             text = text.lower()
             if not JOINED.search(text):
-                text = text.replace(",", " , ").replace(".", " . ")
+                text = text.replace(",", " ,").replace(".", " .")
         return text.replace("\n", " ").split(" ")
 
 
