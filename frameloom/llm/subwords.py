@@ -33,7 +33,7 @@ class WordBpe:
     def __init__(self, path: str):
         quiet_tokenizers()
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
@@ -43,6 +43,14 @@ class WordBpe:
         steps = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         split = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
         self.by_word = steps == ["NFC", "Replace", "Lowercase"] and split.get("pattern", {}).get("Regex") == PATTERN and spec["model"].get("end_of_word_suffix") == "</w>"
+        # Pre-tokens of small letters need no normalizer and no pattern, only the bytes' alphabet.
+        self.plain = self.library
+        if self.by_word and spec["pre_tokenizer"]["pretokenizers"][1:] == [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]:
+            self.plain = Tokenizer.from_file(path)
+            self.plain.no_truncation()
+            self.plain.no_padding()
+            self.plain.normalizer = normalizers.Sequence([])
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.findall = regex.compile(PATTERN).findall
         self.last = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
         self.last[[i for t, i in spec["model"]["vocab"].items() if t.endswith("</w>")]] = True
@@ -56,7 +64,7 @@ class WordBpe:
         found = {}
         plain = [p for p in new if p.isalpha()]
         groups = [plain[i : i + 200] for i in range(0, len(plain), 200)]
-        for group, made in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        for group, made in zip(groups, self.plain.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(made.ids, "<u4")
             ends = (np.flatnonzero(self.last[ids]) + 1) * 4
             if len(ends) == len(group):
