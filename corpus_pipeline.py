@@ -9,6 +9,14 @@ shared folder and reads again for the next. All but the last return the columns
 4. decontaminate: spans of benchmark passages leave the texts; documents of which no word is left go.
 5. pack: the rest as token pieces in sequences.
 
+Odd input: a null text or one without letters goes in the first stage; an empty text can't come further. Rows of equal
+id and text, and rows without an id, are documents of their own in stages 1, 2 and 4; in stage 3 they are copies like
+others, and one stays. An empty table gives an empty result in every stage. Other columns, whatever their names, stay as
+they are until pack, which reads doc_id and text. Texts are whole at any length; ties go by doc_id, then by text hash.
+
+Near copies meet the third stage without the lines that they share with an earlier document, so what is left of them
+is seldom near its original there: they are thinned by the second stage rather than dropped by the third.
+
 SQL can't express the stages (models, fingerprints, tokens), so each is tested against plain Python.
 """
 

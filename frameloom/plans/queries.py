@@ -447,7 +447,12 @@ def upright_sizes(spark, sf_dir):
 
 def _streamed(spark: SparkSession, rows: DataFrame) -> tuple[str, str]:
     """A folder with the rows as files, and a folder for the stream's checkpoint and output, in the shared folder."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="frameloom-")).rstrip("/") + "/stream-" + spark._jvm.java.util.UUID.randomUUID().toString()
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="frameloom-")  # one process, as in tests
+    base = shared.rstrip("/") + "/stream-" + spark._jvm.java.util.UUID.randomUUID().toString()
     edges = rows.select(F.min("ts_ms"), F.max("ts_ms").alias("b")).first()
     third = max(1, ((edges[1] or 0) - (edges[0] or 0)) // 3)
     for k in range(3):  # three files in the order of time, so that state crosses micro-batches
