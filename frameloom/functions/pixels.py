@@ -47,6 +47,21 @@ def small_upright(w: int, h: int, gray_values, rotation: int, longest: int = 640
     return image.shape[1], image.shape[0], image.reshape(-1).tolist()
 
 
+def embed_square(box: tuple[int, int, int, int], w: int, h: int, expand: float = 0.2) -> tuple[int, int, int, int]:
+    """l, t, w, h of the square that an embedder sees of a box (left, top, right, bottom), as scalar.embed_rect()."""
+    f = np.float32
+    side = f(max(box[2] - box[0], box[3] - box[1], 0)) * (f(1) + f(expand))
+
+    def along(low: int, high: int, size: int) -> tuple[int, int]:
+        start = min(max(int(f(low + high) / f(2) - side / f(2)), 0), size - 1)
+        end = min(max(int(f(start) + side), start + 1), size)
+        start = max(int(f(end) - side), 0)
+        return start, end - start
+
+    (l, width), (t, height) = along(box[0], box[2], w), along(box[1], box[3], h)
+    return l, t, width, height
+
+
 def face_crop(image: np.ndarray, rect: tuple[int, int, int, int], roll: float = 0.0, size: int = 112) -> np.ndarray:
     """The rect (l, t, w, h) of an image, turned upright if it is tilted by 15 degrees or more, as size x size, by nearest pixels."""
     l, t, w, h = rect
