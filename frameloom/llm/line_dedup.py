@@ -11,10 +11,13 @@ With k edits allowed, a line is cut into k + 1 pieces, and its variants are what
 deleted: edits touch k pieces at most, so two near lines have an equal variant. Piece i, with i edits in front
 of it and k - i or fewer behind it, is counted from the nearer end and shifted by the edits there. Variants are
 hashed with their bucket of lengths, equal ones joined, and the distance of a line to the earlier ones of its
-variant is verified on the words. A variant with over ``HOT`` different lines is dealt anew by its lines' rare
+variant is verified on the words. First each line meets the earliest line of each of its variants, a pair of
+lines once in however many variants it is: a line near it is settled, so a group of near copies costs as much as it
+has lines. Lines that are not settled meet all earlier lines of their variants, settled ones too. No pair leaves its
+task. A variant with over ``HOT`` different lines, as many of them not settled, is dealt anew by its lines' rare
 words: near lines share one of the k + 1 words that are rarest in the variant, so each line goes to those of its
-own; up to ``LEVELS`` times. No pair leaves its task. What is left then (lines that share a stretch and as many
-rare words) is nearly always near its earliest line, where the search of a line ends.
+own, and begins with the earliest again; up to ``LEVELS`` times. A variant with fewer of them, and what is left then, is
+compared whole, in blocks of about ``HOT`` lines by ``HOT`` of those not settled, so none is one task.
 
 Edge cases: null and empty texts have no lines; rows of equal id and text are one document that is there more
 than once, and keep the same lines; rows of equal (or null) id and different text are documents of their own;
@@ -50,7 +53,7 @@ SIGN = re.compile(r"[^\W_]")
 SEED2 = xxhash.xxh64_intdigest((7).to_bytes(4, "little"), 42)
 #: Hash buckets of shared keys that are broadcast (so many rows at most), to drop other lines before the exact join.
 BUCKETS = 1 << 20
-#: Different lines of one variant that are compared without dealing them anew, and how often they are dealt.
+#: Different lines of one variant that are compared in one place without dealing them anew, and how often they are dealt.
 HOT, LEVELS = 400, 3
 
 
@@ -168,27 +171,55 @@ def within(a: list[str], b: list[str], k: int) -> bool:
     return reached.get(goal) == len(a)
 
 
+def near_pairs(found: DataFrame, edits: int) -> DataFrame:
+    """h1 and h2 of the lines near the other line of their row. found: h1, h2, line, other."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                a, b = words_of(a), words_of(b)
+                keep.append(within(b, a, bound(min(len(a), len(b)), edits)))
+            yield pa.record_batch([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in range(2)], names=["h1", "h2"])
+
+    return small_batches(found).mapInArrow(rows, "h1 long, h2 long")
+
+
 def near_in_keys(found: DataFrame, edits: int) -> DataFrame:
-    """h1 and h2 of the lines near an earlier line of their key. found: key, h1, h2, line dealt by key, sorted by key and place."""
+    """h1 and h2 of the lines asked for that are near an earlier line of their key. found: key, h1, h2, line, asked, held (whether later
+    lines are compared to it) dealt by key, sorted by key and place, of one line those not held first."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, earlier = None, []
         for batch in batches:
             gone = []
-            for k, h1, h2, line in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for k, h1, h2, line, asked, held in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if k != key:
                     key, earlier = k, []
                 own = words_of(line)
                 n = len(own)
-                if any(within(x, own, bound(min(len(x), n), edits)) for x in earlier):
+                if asked and any(within(x, own, bound(min(len(x), n), edits)) for x in earlier):
                     gone.append((h1, h2))
-                earlier.append(own)
+                if held:
+                    earlier.append(own)
             if gone:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*gone, strict=True)], names=["h1", "h2"])
 
     return small_batches(found).mapInArrow(rows, "h1 long, h2 long")
 
 
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """rows (key, h1, h2, asked, n and q, a key's lines and those asked for) dealt so that each line asked for meets each line
+    of its key in one block (key, h1, h2, asked, held), of about HOT lines of either sort."""
+    part = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "h1", "h2"), n).cast("int")
+    many = lambda c: F.ceil(F.col(c) / HOT).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)
+    rows = rows.withColumns({"of_held": many("n"), "of_asked": many("q")})
+    held = rows.select("key", "h1", "h2", part(1, F.col("of_held")).alias("x"), F.explode(upto(F.col("of_asked"))).alias("y"), F.lit(False).alias("asked"), F.lit(True).alias("held"))
+    asked = rows.filter("asked").select("key", "h1", "h2", F.explode(upto(F.col("of_held"))).alias("x"), part(2, F.col("of_asked")).alias("y"), F.lit(True).alias("asked"), F.lit(False).alias("held"))
+    return held.union(asked).select(F.xxhash64("key", "x", "y").alias("key"), "h1", "h2", "asked", "held")
+
+
 def dealt_anew(hits: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     """key, h1 and h2: each line of a key under the key and each of its k + 1 words that are rarest there."""
 
@@ -224,18 +255,31 @@ def near_lines(docs_lines: DataFrame, keyed: DataFrame, edits: int = MOST_EDITS)
     near = docs_lines.select("h1", "h2", "line", order().alias("at")).join(some(wanted, "h1"), bucket("h1") == F.col("bucket"), "left_semi")
     firsts = near.groupBy("h1", "h2").agg(F.min(F.struct("at", "line")).alias("f"))
     texts = written(firsts.join(wanted, ["h1", "h2"], "left_semi").select("h1", "h2", F.col("f.at").alias("o"), F.col("f.line").alias("line")), "texts")
-    out = None
+    near = None
     for level in range(LEVELS + 1):
-        hot = written(hits.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key"), "hot") if level < LEVELS else None
-        split = hot is not None and not hot.isEmpty()
-        cool = hits.join(hot, "key", "left_anti") if split else hits
-        dealt = cool.join(texts, ["h1", "h2"]).repartition("key").sortWithinPartitions("key", "o")
-        found = near_in_keys(dealt.select("key", "h1", "h2", "line"), edits)
-        out = found if out is None else out.union(found)
-        if not split:
+        hits = written(hits.join(texts.select("h1", "h2", "o"), ["h1", "h2"]), "placed")
+        lead = hits.groupBy("key").agg(F.min(F.struct("o", "h1", "h2")).alias("lead"))
+        later = hits.join(lead, "key").filter(F.col("o") > F.col("lead.o"))
+        # Each line against the earliest of its keys, a pair once: it settles nearly all lines of a large group.
+        open_ = later if near is None else later.join(near, ["h1", "h2"], "left_anti")
+        pairs = open_.select("h1", "h2", F.col("lead.h1").alias("l1"), F.col("lead.h2").alias("l2")).distinct()
+        both = pairs.join(texts.select("h1", "h2", "line"), ["h1", "h2"]).join(texts.select(F.col("h1").alias("l1"), F.col("h2").alias("l2"), F.col("line").alias("other")), ["l1", "l2"])
+        found = written(near_pairs(both.select("h1", "h2", "line", "other"), edits).distinct(), "found")
+        near = found if near is None else near.union(found)
+        # The others are asked for among their keys' lines, those that went too, up to the last one asked for.
+        rows = later.select("key", "h1", "h2", "o").join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").withColumn("asked", F.col("near").isNull())
+        keys = rows.groupBy("key").agg(F.min("o").alias("least"), F.max(F.when(F.col("asked"), F.col("o"))).alias("last"), F.count("*").alias("n"), F.count_if("asked").alias("q")).filter("last > least")
+        rows = written(rows.join(keys, "key").filter("o <= last").select("key", "h1", "h2", "asked", "n", "q"), "rows")
+        hot = (F.col("n") > HOT) & (F.col("q") > HOT) if level < LEVELS else F.lit(False)
+        again = level < LEVELS and not rows.filter(hot).isEmpty()
+        here = rows.filter(F.col("n") <= HOT).select("key", "h1", "h2", "asked", F.lit(True).alias("held")).union(in_blocks(rows.filter((F.col("n") > HOT) & ~hot)))
+        dealt = here.join(texts, ["h1", "h2"]).repartition("key").sortWithinPartitions("key", "o", "held")
+        found = written(near_in_keys(dealt.select("key", "h1", "h2", "line", "asked", "held"), edits).distinct(), "found")
+        near = near.union(found)
+        if not again:
             break
-        hits = written(dealt_anew(hits.join(hot, "key", "left_semi"), texts, edits), "hits")
-    return out.distinct()
+        hits = written(dealt_anew(rows.filter(hot).select("key", "h1", "h2"), texts, edits), "hits")
+    return near.distinct()
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = MOST_EDITS) -> DataFrame:

@@ -82,6 +82,22 @@ def test_hot_variants_equal_all_pairs(spark, monkeypatch):
     assert found(spark.createDataFrame(docs, DOCS)) == plain(docs)
 
 
+def test_a_large_group_of_near_copies_costs_as_much_as_it_has_lines(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", 12)
+    made = []
+    for name in ("near_pairs", "near_in_keys"):
+        if own := getattr(line_dedup, name, None):
+            monkeypatch.setattr(line_dedup, name, lambda lines, edits, own=own: made.append(own(lines, edits)) or made[-1])
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(1000)}" for _ in range(40)]
+    # Too far from the base, but not from each other: these are found among the lines that were settled first.
+    other = [*base[:30], *(f"x{i}" for i in range(8)), *base[38:]]
+    docs = [(0, " ".join(base))] + [(i, " ".join(edited(rng, other if i % 20 == 7 else base, 3))) for i in range(1, 160)]
+    gone = found(spark.createDataFrame(docs, DOCS))
+    assert gone == plain(docs) and len(gone) > 140
+    assert sum(rows.count() for rows in made) < 1.2 * len(docs)
+
+
 def test_within_and_shifts():
     rng = random.Random(9)
     for _ in range(3000):
