@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from frameloom.llm import decontam
+from frameloom.llm import decontam, langid
 
 sys.path.insert(0, str(Path(__file__).parent))
 from test_line_dedup import plain as plain_lines  # noqa: E402
@@ -45,6 +45,18 @@ def folder(spark, tmp_path_factory):
     return str(path)
 
 
+def test_language_stage_drops_no_ngram_of_a_large_model(spark, folder, monkeypatch):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    whole = sorted(r.doc_id for r in corpus_pipeline.language(spark, docs, folder).collect())
+
+    def dropped(*_):
+        raise AssertionError("n-grams are dropped")
+
+    monkeypatch.setattr(langid, "fitting", dropped)
+    monkeypatch.setattr(langid, "MODEL_BYTES", 12_000)
+    assert sorted(r.doc_id for r in corpus_pipeline.language(spark, docs, folder).collect()) == whole and len(langid.fit_by_id(docs).parts) > 1
+
+
 def test_stages_equal_plain_python(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
