@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from frameloom.llm import decontam, langid
+from frameloom.llm import decontam, langid, line_dedup
 
 sys.path.insert(0, str(Path(__file__).parent))
 from test_line_dedup import plain as plain_lines  # noqa: E402
@@ -57,6 +57,17 @@ def test_language_stage_drops_no_ngram_of_a_large_model(spark, folder, monkeypat
     assert sorted(r.doc_id for r in corpus_pipeline.language(spark, docs, folder).collect()) == whole and len(langid.fit_by_id(docs).parts) > 1
 
 
+def test_lines_stage_makes_few_rows_of_a_near_group(spark, monkeypatch):
+    made = []
+    for name in ("near_pairs", "near_in_keys"):
+        if own := getattr(line_dedup, name, None):
+            monkeypatch.setattr(line_dedup, name, lambda lines, edits, own=own: made.append(own(lines, edits)) or made[-1])
+    base = [f"w{i}" for i in range(40)]
+    docs = [(i, " ".join([*base[: i % 40], f"x{i}", *base[i % 40 + 1 :]]), "en", "a", 0) for i in range(120)]
+    left = corpus_pipeline.lines(spark, spark.createDataFrame(docs, DOCS), "").collect()
+    assert [r.doc_id for r in left] == [0] and sum(rows.count() for rows in made) < 3 * len(docs)
+
+
 def test_stages_equal_plain_python(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
